@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +14,23 @@ from reviewloom.operators.split import histories
 CANDIDATES = 200  # fixed value: items looked at per user before rated ones are dropped
 
 
-def mean_vectors(weights: DataFrame, vectors: DataFrame, key: str, on: str) -> DataFrame:
-    """Weighted mean vector per key. ``weights`` is (key, on, n), ``vectors`` is (on, vec)."""
-    joined = weights.join(vectors, on).withColumn("_vec", array_to_vector("vec"))
-    mean = Summarizer.mean(F.col("_vec"), F.col("n").cast("double"))
-    return joined.groupBy(key).agg(mean.alias("_mean")).select(key, vector_to_array("_mean").alias("vec"))
+def mean_of_arrays(df: DataFrame, keys: Sequence[str], weight: str, dim: int) -> DataFrame:
+    """(keys, vec): weighted mean of the ``vec`` arrays, one plain sum per place.
+
+    Sums of doubles are combined before the shuffle and kept in fixed-width rows that can spill.
+    """
+    total = F.sum(weight)
+    return df.groupBy(*keys).agg(
+        F.array(*[F.sum(F.get("vec", F.lit(j)) * F.col(weight)) / total for j in range(dim)]).alias("vec")
+    )
 
 
 def user_profiles(train: DataFrame, item_vectors: DataFrame) -> DataFrame:
     """(user_id, vec): mean of the vectors of the bought items, each purchase counted."""
-    return mean_vectors(histories(train), item_vectors, "user_id", "item_id")
+    head = item_vectors.select(F.size("vec").alias("dim")).first()
+    if head is None:
+        raise ValueError("no item vectors")
+    return mean_of_arrays(histories(train).join(item_vectors, "item_id"), ["user_id"], "n", head["dim"])
 
 
 def nearest_items(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewloom.functions.scalar import seeded_normal
+from reviewloom.operators.cells import by_cell
 from reviewloom.operators.grid import dot_scorer, grid_top_k
 from reviewloom.schemas import RATING_MAX, RATING_MIN
 from reviewloom.session import durable
@@ -212,8 +213,10 @@ def fit(
                 F.lit(2).alias("kind"), "cell", "user_id", "item_id",
                 null.cast("double").alias("bias"), null.cast("array<double>").alias("vec"), "rating", "place",
             )
-            state = held.unionByName(stratum).groupBy("cell").applyInArrow(
-                _train_cell(mean, rate, reg, factors), schema
+            state = (
+                by_cell(held.unionByName(stratum), blocks)
+                .groupBy("cell")
+                .applyInArrow(_train_cell(mean, rate, reg, factors), schema)
             )
         state = durable(state)
     return Factorisation(

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from reviewloom.operators.cells import by_cell
+
 Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 BLOCK_ROWS = 65_536  # rows of one side in one cell: 32 MB per 64 doubles
@@ -177,7 +179,9 @@ def grid_top_k(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    lists = cells.groupBy("user_block", "item_block").applyInArrow(_cell(scorer, k, digits), schema)
+    cells = cells.withColumn("cell", F.col("user_block") * item_blocks + F.col("item_block"))
+    cells = by_cell(cells.drop("user_block", "item_block"), user_blocks * item_blocks)
+    lists = cells.groupBy("cell").applyInArrow(_cell(scorer, k, digits), schema)
     return rank_items(lists, k)
 
 

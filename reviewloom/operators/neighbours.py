@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from reviewloom.functions.scalar import rounded
+from reviewloom.operators.cells import by_cell
 from reviewloom.operators.grid import best_per_row, id_ranks
 from reviewloom.session import durable
 
@@ -105,7 +106,7 @@ def common_sums(rows_a, items_a, e_a, n_a, rows_b, items_b, e_b, n_b, n_items) -
 def _nearest_of_cell(k: int, digits: int):
     def nearest(cell: pa.Table) -> pa.Table:
         kind = cell["kind"].to_numpy()
-        mirrored = cell["row_block"][0].as_py() == cell["col_block"][0].as_py()
+        mirrored = cell["mirrored"][0].as_py()  # a block with itself comes once
 
         def side(number: int):
             terms = cell.filter(pa.array(kind == 2 * number))
@@ -168,12 +169,14 @@ def nearest_users(cells: DataFrame, k: int = NEIGHBOURS, digits: int = 6, blocks
     ).unionByName(
         cells.select("user_id", "item_id", F.col("e").alias("x"), F.lit(0.0).alias("y"), F.lit(1).alias("what"))
     )
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    cell = low * blocks - F.floor(low * (low - 1) / 2) + high - low  # number of the pair low <= high
     met = (
         rows.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         .select(
-            F.least("own", "other").alias("row_block"),
-            F.greatest("own", "other").alias("col_block"),
+            cell.cast("int").alias("cell"),
+            (F.col("own") == F.col("other")).alias("mirrored"),
             (F.when(F.col("own") <= F.col("other"), 0).otherwise(2) + F.col("what")).alias("kind"),
             "user_id", "item_id", "x", "y",
         )
@@ -185,7 +188,8 @@ def nearest_users(cells: DataFrame, k: int = NEIGHBOURS, digits: int = 6, blocks
             T.StructField("sim", T.DoubleType()),
         ]
     )
-    lists = met.groupBy("row_block", "col_block").applyInArrow(_nearest_of_cell(k, digits), schema)
+    met = by_cell(met, blocks * (blocks + 1) // 2)
+    lists = met.groupBy("cell").applyInArrow(_nearest_of_cell(k, digits), schema)
     best_first = W.partitionBy("user_id").orderBy(F.desc("sim"), "neighbour")
     return lists.withColumn("place", F.row_number().over(best_first)).where(F.col("place") <= k)
 

@@ -333,8 +333,7 @@ def mf_funk_top10(spark: SparkSession, root: str) -> DataFrame:
 def mf_topic_top10(spark: SparkSession, root: str) -> DataFrame:
     docs = durable(processed_texts(spark, root))
     train = durable(train_of(spark, root))
-    model = topics.train_topics(train.join(docs, "doc_id"))
-    users, items = topic_starts(model, train, docs)
+    users, items = topic_starts(topics.train_topics(docs), train, docs)
     return recommend.recommend("TI-MF", train, 10, user_vectors=users, item_vectors=items)
 
 
@@ -400,13 +399,13 @@ def tfidf(spark: SparkSession, root: str) -> DataFrame:
 def lda_user_topics(spark: SparkSession, root: str) -> DataFrame:
     docs = durable(processed_texts(spark, root))
     train = durable(train_of(spark, root))
-    users, _ = topic_starts(topics.train_topics(train.join(docs, "doc_id")), train, docs)
+    users, _ = topic_starts(topics.train_topics(docs), train, docs)
     return users.select("user_id", F.posexplode("vec").alias("topic", "share"))
 
 
 @query
 def lda_top_terms(spark: SparkSession, root: str) -> DataFrame:
-    return topics.train_topics(review_tokens(spark, root)).top_terms(spark)
+    return topics.train_topics(processed_texts(spark, root)).top_terms(spark)
 
 
 @query
