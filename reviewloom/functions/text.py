@@ -7,23 +7,26 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# English contraction endings and irregular forms, (pattern, replacement).
-# Written in the subset of regular expressions that Java and RE2 read alike.
+# English contractions in lower case, replaced as plain text in this order.
 CONTRACTIONS = (
     ("’", "'"),
-    (r"(?i)(^|[^a-z])won't", "$1will not"),
-    (r"(?i)(^|[^a-z])can't", "$1cannot"),
-    (r"(?i)(^|[^a-z])shan't", "$1shall not"),
-    (r"(?i)(^|[^a-z])ain't", "$1are not"),
-    (r"(?i)(^|[^a-z])let's", "$1let us"),
-    (r"(?i)(^|[^a-z])y'all", "$1you all"),
-    (r"(?i)n't", " not"),
-    (r"(?i)'re", " are"),
-    (r"(?i)'ve", " have"),
-    (r"(?i)'ll", " will"),
-    (r"(?i)'m", " am"),
-    (r"(?i)(^|[^a-z])(it|he|she|that|there|here|what|who|where|how|when|why)'s", "$1$2 is"),
-    (r"(?i)(^|[^a-z])(i|you|he|she|it|we|they|there|that|who)'d", "$1$2 would"),
+    ("won't", "will not"),
+    ("can't", "cannot"),
+    ("shan't", "shall not"),
+    ("ain't", "are not"),
+    ("let's", "let us"),
+    ("y'all", "you all"),
+    ("n't", " not"),
+    ("'re", " are"),
+    ("'ve", " have"),
+    ("'ll", " will"),
+    ("'m", " am"),
+)
+# Endings that stand for a verb after these words only, (pattern, replacement).
+# Written in the subset of regular expressions that Java and RE2 read alike.
+VERB_ENDINGS = (
+    ("(^|[^a-z])(it|he|she|that|there|here|what|who|where|how|when|why)'s", "$1$2 is"),
+    ("(^|[^a-z])(i|you|he|she|it|we|they|there|that|who)'d", "$1$2 would"),
 )
 
 # The single-word entries of Spark's own English stop word list.
@@ -47,7 +50,10 @@ NON_LETTERS = "[^a-z]+"
 
 
 def expand_contractions(text: Column) -> Column:
-    for pattern, replacement in CONTRACTIONS:
+    """Expand contractions of a lower-case text."""
+    for short, full in CONTRACTIONS:
+        text = F.replace(text, F.lit(short), F.lit(full))
+    for pattern, replacement in VERB_ENDINGS:
         text = F.regexp_replace(text, pattern, replacement)
     return text
 
@@ -57,8 +63,8 @@ def join_lines(text: Column) -> Column:
 
 
 def letters_only(text: Column) -> Column:
-    """Lower case, then one space for every run of characters that are not ASCII letters."""
-    return F.regexp_replace(F.lower(text), NON_LETTERS, " ")
+    """One space for every run of characters of a lower-case text that are not ASCII letters."""
+    return F.regexp_replace(text, NON_LETTERS, " ")
 
 
 def words(text: Column) -> Column:
@@ -76,8 +82,15 @@ def keep_token_lengths(tokens: Column, shortest: int = TOKEN_MIN, longest: int =
 
 
 def normalise(text: Column) -> Column:
-    """Everything that happens to a text before it is cut into tokens."""
-    return letters_only(join_lines(expand_contractions(text)))
+    """Everything that happens to a text before it is cut into tokens.
+
+    Lower case comes first, which changes no result and lets the later steps match plain text. Line
+    breaks are not letters, so they need no step of their own here. Texts without an apostrophe skip the
+    contractions; the test looks at the plain column, so nothing is computed twice.
+    """
+    lower = F.lower(text)
+    has_short = text.contains("'") | text.contains("’")
+    return letters_only(F.when(has_short, expand_contractions(lower)).otherwise(lower))
 
 
 def final_tokens(tokens: Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:
@@ -118,6 +131,12 @@ def lemmatise(df: DataFrame, tokens: str, key: str, lemmas: DataFrame) -> DataFr
     )
 
 
+def computed_once(col: Column) -> Column:
+    """The same value behind a generator, so that filters on it do not pull copies of a costly expression
+    below themselves."""
+    return F.explode_outer(F.array(col))
+
+
 def preprocess_reviews(
     df: DataFrame,
     text: str = "review_text",
@@ -128,6 +147,6 @@ def preprocess_reviews(
 ) -> DataFrame:
     """Add the cleaned text. With a lemma dictionary the tokens make one round trip through a join."""
     if lemmas is None:
-        return df.withColumn(out, preprocess(F.col(text), stop_words))
+        return df.select("*", computed_once(preprocess(F.col(text), stop_words)).alias(out))
     df = lemmatise(df.withColumn("_tokens", words(normalise(F.col(text)))), "_tokens", key, lemmas)
     return df.withColumn(out, F.array_join(final_tokens(F.col("_tokens"), stop_words), " ")).drop("_tokens")

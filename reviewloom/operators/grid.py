@@ -19,10 +19,12 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from reviewloom.operators.cells import by_cell
+from reviewloom.session import durable
 
 Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 BLOCK_ROWS = 65_536  # rows of one side in one cell: 32 MB per 64 doubles
+VECTOR_BYTES, LISTED_BYTES = 512, 24  # what a row of either side and a listed item weigh, roughly
 TILE = 8_000_000  # scores held at a time inside a cell
 
 
@@ -103,11 +105,18 @@ def _cell(scorer: Scorer, k: int, digits: int):
     return top_of_cell
 
 
-def block_counts(n_users: int, n_items: int, tasks: int, block_rows: int = BLOCK_ROWS) -> tuple[int, int]:
-    """Blocks per side: small enough for memory, enough cells to keep every task busy."""
-    item_blocks = max(1, math.ceil(n_items / block_rows))
-    user_blocks = max(1, math.ceil(n_users / block_rows), math.ceil(3 * tasks / item_blocks))
-    return min(user_blocks, max(1, n_users)), item_blocks
+def block_counts(n_users: int, n_items: int, tasks: int, k: int, block_rows: int = BLOCK_ROWS) -> tuple[int, int]:
+    """Blocks per side: small enough for memory, enough cells for every task, and little copying.
+
+    Each user travels to every item block and brings back k items from it; each item travels to every
+    user block. For a given number of cells the copies are fewest when both sides move as many bytes.
+    """
+    least_users, least_items = math.ceil(n_users / block_rows) or 1, math.ceil(n_items / block_rows) or 1
+    cells = max(tasks, least_users * least_items)
+    balance = n_items * VECTOR_BYTES / max(1.0, n_users * (VECTOR_BYTES + k * LISTED_BYTES))
+    item_blocks = max(least_items, min(round(math.sqrt(cells * balance)), max(1, n_items)))
+    user_blocks = max(least_users, min(math.ceil(cells / item_blocks), max(1, n_users)))
+    return user_blocks, item_blocks
 
 
 def rank_items(scored: DataFrame, k: int) -> DataFrame:
@@ -136,7 +145,9 @@ def grid_top_k(
     """
     spark = users.sparkSession
     if blocks is None:
-        blocks = block_counts(users.count(), items.count(), spark.sparkContext.defaultParallelism)
+        # written once, so that counting does not compute the vectors a second time
+        users, items = durable(users.select("user_id", "vec")), durable(items.select("item_id", "vec"))
+        blocks = block_counts(users.count(), items.count(), spark.sparkContext.defaultParallelism, k)
     user_blocks, item_blocks = blocks
     user_type, item_type = users.schema["user_id"].dataType, items.schema["item_id"].dataType
     no_user, no_item = F.lit(None).cast(user_type), F.lit(None).cast(item_type)

@@ -156,7 +156,7 @@ def nearest_users(cells: DataFrame, k: int = NEIGHBOURS, digits: int = 6, blocks
     leaves its task unless it is among the best. A pair of blocks is visited once, for both directions.
     """
     spark = cells.sparkSession
-    terms = user_terms(cells)
+    terms = durable(user_terms(cells))
     if blocks is None:
         n_users = terms.count()
         wanted = math.ceil(math.sqrt(6 * spark.sparkContext.defaultParallelism))

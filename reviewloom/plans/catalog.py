@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions.scalar import rounded, vector_scale
-from reviewloom.functions.text import final_tokens, normalise, preprocess, preprocess_reviews, words
+from reviewloom.functions.text import final_tokens, normalise, preprocess_reviews, words
 from reviewloom.operators import (
     baseline,
     clean,
@@ -55,8 +55,8 @@ def with_titles(reviews: DataFrame, spark: SparkSession, root: str) -> DataFrame
 
 def processed_texts(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, processed_text). Reviews that share a text have it cleaned once."""
-    docs = tables.texts(spark, root)
-    return clean.drop_empty_texts(docs.select("doc_id", preprocess(F.col("review_text")).alias("processed_text")))
+    docs = tables.texts(spark, root).select("doc_id", "review_text")
+    return clean.drop_empty_texts(preprocess_reviews(docs)).drop("review_text")
 
 
 def review_tokens(spark: SparkSession, root: str) -> DataFrame:
@@ -383,14 +383,14 @@ def bow_counts(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def dictionary_filter(spark: SparkSession, root: str) -> DataFrame:
-    docs = processed_texts(spark, root)
+    docs = durable(processed_texts(spark, root))
     frequencies = topics.document_frequencies(topics.term_counts(docs, "doc_id"))
     return topics.dictionary(frequencies, topics.number_of(docs))
 
 
 @query
 def tfidf(spark: SparkSession, root: str) -> DataFrame:
-    docs = processed_texts(spark, root)
+    docs = durable(processed_texts(spark, root))
     weights = topics.tfidf(topics.term_counts(docs, "doc_id"), "doc_id", topics.number_of(docs))
     return weights.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
@@ -419,8 +419,8 @@ def lda_coherence(spark: SparkSession, root: str) -> DataFrame:
 @query
 def term_coherence(spark: SparkSession, root: str) -> DataFrame:
     """The coherence formula on one fixed set of terms per language: its most frequent ones."""
-    docs = processed_texts(spark, root)
-    counts = topics.term_counts(docs, "doc_id")
+    docs = durable(processed_texts(spark, root))
+    counts = durable(topics.term_counts(docs, "doc_id"))
     langs = tables.texts(spark, root).select("doc_id", "lang")
     by_lang = counts.join(langs, "doc_id").groupBy("lang", "term").agg(F.count(F.lit(1)).alias("df"))
     top = explore.best_per_group(by_lang, "lang", "df", "term", 10)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from reviewloom.functions.scalar import HASH_ITEM, HASH_MIX, HASH_PRIME, HASH_USER
-from reviewloom.functions.text import CONTRACTIONS, STOP_WORDS, TOKEN_MAX, TOKEN_MIN
+from reviewloom.functions.text import CONTRACTIONS, STOP_WORDS, TOKEN_MAX, TOKEN_MIN, VERB_ENDINGS
 from reviewloom.operators.topics import COHERENCE_EPSILON, MAX_SHARE, MAX_TERMS, MIN_DOCS
 from reviewloom.plans.catalog import COLD_START, FACTOR_SCALE, LEMMAS, OTHER_USER, PINNED, USER
 
@@ -15,11 +15,13 @@ def _quoted(text: str) -> str:
 
 
 def _normalised(column: str) -> str:
-    sql = column
-    for pattern, replacement in CONTRACTIONS:
+    sql = f"lower({column})"
+    for short, full in CONTRACTIONS:
+        sql = f"replace({sql}, {_quoted(short)}, {_quoted(full)})"
+    for pattern, replacement in VERB_ENDINGS:
         sql = f"regexp_replace({sql}, {_quoted(pattern)}, {_quoted(re.sub(r'[$]([0-9])', r'\\\1', replacement))}, 'g')"
     sql = rf"regexp_replace({sql}, '[\r\n]+', ' ', 'g')"
-    return f"regexp_replace(lower({sql}), '[^a-z]+', ' ', 'g')"
+    return f"regexp_replace({sql}, '[^a-z]+', ' ', 'g')"
 
 
 _STOP = ", ".join(_quoted(w) for w in STOP_WORDS)
