@@ -56,7 +56,7 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType) -> tuple[
         .json(path)
     )
     good = raw.where(F.col(REJECT).isNull())
-    second = raw.where(F.col(REJECT).isNotNull()).select(REJECT).mapInPandas(_literal_lines(schema), schema)
+    second = raw.where(F.col(REJECT).isNotNull()).mapInPandas(_literal_lines(schema), schema)
     rows = good.unionByName(second.where(F.col(REJECT).isNull())).drop(REJECT)
     return rows, second.where(F.col(REJECT).isNotNull()).select(F.col(REJECT).alias("line"))
 
