@@ -149,18 +149,44 @@ def test_two_title_items_double(spark):
     assert recommend.recommendations_table(lists, titles, "er-cbf").count() == 2
 
 
-def test_paragraph_vectors_find_planted_topics(spark, monkeypatch):
-    monkeypatch.setattr(paragraph, "SAMPLE", 1.0)
-    rng = np.random.default_rng(3)
-    rows = []
+def planted_documents(seed=3):
+    """40 documents about two things in turn, with filler words both share: tokens and document numbers."""
+    rng = np.random.default_rng(seed)
+    tokens = []
     for n in range(40):
-        words = [f"{'xy'[n % 2]}word{w}" for w in rng.integers(0, 12, 60)]
-        rows.append((n, n, " ".join(words), f"t{n}"))
-    reviews = spark.createDataFrame(rows, "review_id long, item_id long, processed_text string, title string")
-    vectors = {int(r["tag"]): np.array(r["vec"]) for r in paragraph.review_vectors(reviews, epochs=60, dim=8, parts=2).collect()}
-    m = np.array([vectors[i] / np.linalg.norm(vectors[i]) for i in range(40)])
-    sims = m @ m.T
-    same, other = sims[::2, ::2].mean(), sims[::2, 1::2].mean()
-    assert same > other + 0.2
-    near = paragraph.similar_items(reviews, 0, n=5, epochs=60, dim=8, parts=2).collect()
-    assert len(near) == 5 and sum(r["item_id"] % 2 == 0 for r in near) >= 4
+        own = (n % 2) * 12 + rng.integers(0, 12, 60)
+        tokens.append(np.where(rng.random(60) < 0.6, 24 + rng.integers(0, 40, 60), own))
+    return np.concatenate(tokens), np.repeat(np.arange(40), 60), rng
+
+
+def test_paragraph_kernel_finds_planted_topics(monkeypatch):
+    monkeypatch.setattr(paragraph, "SAMPLE", 1.0)
+    tokens, doc, rng = planted_documents()
+    counts, dim, epochs = np.bincount(tokens, minlength=64).astype(float), 8, 40
+    vec_in, vec_out, tags = (rng.random((64, dim)) - 0.5) / dim, np.zeros((64, dim)), (rng.random((40, dim)) - 0.5) / dim
+    for e in range(epochs):
+        paragraph.learn(vec_in, vec_out, tags, tokens, doc, doc, counts, len(tokens), 0.025 * (1 - e / epochs), rng, dim)
+    unit = tags / np.linalg.norm(tags, axis=1)[:, None]
+    sims = unit @ unit.T
+    assert sims[::2, ::2].mean() > sims[::2, 1::2].mean() + 0.3
+    frozen, fresh, own = vec_out.copy(), (rng.random((1, dim)) - 0.5) / dim, doc == 0
+    for e in range(50):
+        paragraph.learn(
+            vec_in, vec_out, fresh, tokens[own], doc[own], np.zeros(own.sum(), dtype=int), counts, len(tokens),
+            0.025 * (1 - e / 50), rng, dim, False,
+        )
+    assert np.array_equal(frozen, vec_out)
+    near = np.argsort(-(unit @ fresh[0]))[:5]
+    assert (near % 2 == 0).all()
+
+
+def test_paragraph_vectors_on_spark(spark):
+    tokens, doc, _ = planted_documents()
+    rows = [(n, n // 2, n % 5, " ".join(f"w{w}" for w in tokens[doc == n]), f"t{n // 2}") for n in range(40)]
+    reviews = spark.createDataFrame(rows, "review_id long, item_id long, user_id long, processed_text string, title string")
+    vectors = paragraph.review_vectors(reviews, ("item", "user"), epochs=2, dim=8, parts=3)
+    assert {r["kind"]: r["count"] for r in vectors.groupBy("kind").count().collect()} == {"item": 20, "user": 5}
+    assert all(len(r["vec"]) == 8 for r in vectors.collect())
+    near = paragraph.similar_items(reviews, 0, n=5, epochs=2, dim=8, parts=3).collect()
+    assert sorted(r["item_rank"] for r in near) == [0, 1, 2, 3, 4]
+    assert all(r["title"] == f"t{r['item_id']}" for r in near)
