@@ -38,6 +38,7 @@ LEMMAS = (
 )
 FACTOR_SCALE = 0.2
 TOPIC_SWEEP = (5, 10, 15)
+VECTOR_EPOCHS = 2  # of the named queries that learn review vectors; the operator's default is 10
 
 
 def query(fn: Query) -> Query:
@@ -355,7 +356,7 @@ def topic_starts(model: topics.TopicModel, train: DataFrame, docs: DataFrame) ->
 @query
 def mf_vector_top10(spark: SparkSession, root: str) -> DataFrame:
     train = durable(train_of(spark, root))
-    vectors = paragraph.review_vectors(train.join(processed_texts(spark, root), "doc_id"), kinds=("item", "user"))
+    vectors = paragraph.review_vectors(train.join(processed_texts(spark, root), "doc_id"), kinds=("item", "user"), epochs=VECTOR_EPOCHS)
     return recommend.recommend(
         "MOD-ECF", train, 10,
         user_vectors=paragraph.vectors_of(vectors, "user", "bigint"), item_vectors=paragraph.vectors_of(vectors, "item", "bigint"),
@@ -440,7 +441,7 @@ def lda_sweep(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def paragraph_vectors(spark: SparkSession, root: str) -> DataFrame:
-    vectors = paragraph.review_vectors(review_tokens(spark, root), kinds=("item",))
+    vectors = paragraph.review_vectors(review_tokens(spark, root), kinds=("item",), epochs=VECTOR_EPOCHS)
     return vectors.select("kind", "tag", F.posexplode("vec").alias("pos", "value"))
 
 
@@ -448,7 +449,7 @@ def paragraph_vectors(spark: SparkSession, root: str) -> DataFrame:
 def similar_items(spark: SparkSession, root: str) -> DataFrame:
     """Items nearest to the text of all reviews of one item, with titles."""
     reviews = durable(with_titles(review_tokens(spark, root), spark, root))
-    return paragraph.similar_items(reviews, ITEM)
+    return paragraph.similar_items(reviews, ITEM, epochs=VECTOR_EPOCHS)
 
 
 # --- evaluation
