@@ -1,8 +1,8 @@
 """Secrets in texts: three patterns, and character Markov models that tell random strings from identifiers.
 
 The models are tables of how often one character follows another, in labelled samples taken from all texts: what the
-patterns matched is random, other runs of the same characters of ``SAMPLE_LENGTH`` or more are ordinary. A run of
-``LENGTH`` characters or more that no pattern matched is reported if random strings explain it better by ``MARGIN``
+patterns matched is random, other runs of the same characters of ``SAMPLE_LENGTH`` or more are ordinary, but for those
+that are themselves to be judged. A run of ``LENGTH`` characters or more, with a digit and a letter, that no pattern matched is reported if random strings explain it better by ``MARGIN``
 (natural logarithm of the likelihood ratio).
 """
 
@@ -39,7 +39,7 @@ DIGIT[list(b"0123456789")] = True
 
 SAMPLE_LENGTH, LENGTH, MARGIN = 8, 20, 20.0
 SMOOTHING = 0.5  # added to each count
-UNIFORM = 20.0  # samples of each pair that the random model starts with
+UNIFORM = 0.5  # share of evenly drawn characters in the random model, beside what the labelled samples show
 
 SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,end:long,log_ratio:double>>"
 
@@ -89,6 +89,13 @@ def pairs_in(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return np.bincount(left[known] * SIZE + right[known], minlength=SIZE * SIZE).reshape(SIZE, SIZE).astype(np.float64)
 
 
+def _judged(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Runs that are long enough to be judged and hold both a digit and a letter."""
+    digits = np.concatenate([[0], np.cumsum(DIGIT[data])])
+    letters = np.concatenate([[0], np.cumsum(words.LOWER[data] - ord("a") < 26)])
+    return (ends - starts >= LENGTH) & (digits[ends] > digits[starts]) & (letters[ends] > letters[starts])
+
+
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals = np.zeros((2, SIZE, SIZE))
     for batch in batches:
@@ -103,7 +110,8 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reach = np.maximum.accumulate(taken[:, 1]) if len(taken) else taken[:, 1]
             before = np.searchsorted(taken[:, 0], ends) - 1
             touched = (before >= 0) & (reach[np.maximum(before, 0)] > starts) if len(taken) else np.zeros(len(starts), bool)
-            totals += np.stack([random, pairs_in(codes, starts[~touched], ends[~touched])])
+            ordinary = ~touched & ~_judged(data, starts, ends)
+            totals += np.stack([random, pairs_in(codes, starts[ordinary], ends[ordinary])])
     place = np.flatnonzero(totals.reshape(-1))
     yield pa.RecordBatch.from_arrays(
         [pa.array(place.astype(np.int32)), pa.array(totals.reshape(-1)[place])], names=["pair", "n"]
@@ -120,9 +128,8 @@ def learned(docs: DataFrame) -> np.ndarray:
     for r in counts.collect():
         totals[r["pair"]] = r["n"]
     random, ordinary = totals.reshape(2, SIZE, SIZE) + SMOOTHING
-    random = random + UNIFORM / SIZE
-    likely = [np.log(t / t.sum(axis=1, keepdims=True)) for t in (random, ordinary)]
-    return likely[0] - likely[1]
+    random, ordinary = (t / t.sum(axis=1, keepdims=True) for t in (random, ordinary))
+    return np.log(UNIFORM / SIZE + (1 - UNIFORM) * random) - np.log(ordinary)
 
 
 def markov_spans(data: np.ndarray, offsets: np.ndarray, ratio: np.ndarray, taken: list[tuple]) -> list[tuple]:
@@ -134,10 +141,8 @@ def markov_spans(data: np.ndarray, offsets: np.ndarray, ratio: np.ndarray, taken
     padded = np.zeros((SIZE + 1, SIZE + 1))
     padded[:SIZE, :SIZE] = ratio
     steps = np.concatenate([[0.0], np.cumsum(padded[codes[:-1], codes[1:]])])
-    digits = np.concatenate([[0], np.cumsum(DIGIT[data])])
-    letters = np.concatenate([[0], np.cumsum(words.LOWER[data] - ord("a") < 26)])
     total = steps[ends - 1] - steps[starts]
-    fits = (total >= MARGIN) & (digits[ends] > digits[starts]) & (letters[ends] > letters[starts])
+    fits = (total >= MARGIN) & _judged(data, starts, ends)
     known = sorted((start, end) for _, start, _, end, *_ in taken)
     begin = np.array([a for a, _ in known], dtype=np.int64)
     reach = np.maximum.accumulate(np.array([b for _, b in known], dtype=np.int64)) if known else begin
