@@ -26,12 +26,13 @@ from reviewloom.llm.scope import fold
 from reviewloom.session import durable
 
 FOLDS, HELD_OUT = 5, 1
-STATES, SINGLES, HASHED = 8, 1_024, 1_024
+STATES, SINGLES, HASHED = 6, 1_024, 1_024
 CLASSES = SINGLES + HASHED
-FREQUENT = 1_000_000  # words whose counts are broadcast, 18 bytes each
-SPAN, ROUNDS = 128, 3  # tokens of a training span, and rounds of Baum-Welch over all training tokens
-SAMPLE_SPANS, SAMPLE_ROUNDS = 3_000, 15  # spans, about, and rounds of the start on the driver
+FREQUENT = 300_000  # words whose counts are broadcast, 18 bytes each
+SPAN, ROUNDS = 128, 2  # tokens of a training span, and rounds of Baum-Welch over all training tokens
+SAMPLE_SPANS, SAMPLE_ROUNDS = 2_000, 10  # spans, about, and rounds of the start on the driver
 PRIOR = 200.0  # class counts, shaped like the corpus, that smooth each state
+CUT = 512  # spans whose vectors are held at a time
 FAN = 16  # tables of expected counts that are added at a time
 COUNTED = 1 << 20  # distinct words a task holds before it hands on their counts
 
@@ -96,8 +97,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         if held > FREQUENT:
             least = r["level"] + 1
             break
-    top = counts.where(level >= least).toPandas()
-    keys, seen = top["token"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
+    top = counts.where(level >= least).toArrow()
+    keys, seen = top["token"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.argsort(keys)
     keys, seen = keys[order], seen[order]
     classes = (SINGLES + (keys >> np.uint64(8)) % np.uint64(HASHED)).astype(np.int16)
@@ -239,8 +240,8 @@ def _expect(shared):
         for batch in batches:
             for part in words.chunks(batch, "classes", 1 << 18):
                 spans, sizes, first = spans_of(part.column("classes").to_pylist())
-                for at in range(0, len(spans), 4_096):
-                    cut = slice(at, at + 4_096)
+                for at in range(0, len(spans), CUT):
+                    cut = slice(at, at + CUT)
                     counts = expected(model, spans[cut], sizes[cut], first[cut])
                     total = counts if total is None else total + counts
         if total is not None:
@@ -282,7 +283,8 @@ def baum_welch(tokens: DataFrame, prior: np.ndarray) -> tuple[Model, list[float]
     sample = training.where(drawn).orderBy("row").select(F.substring("classes", start, F.lit(2 * SPAN)).alias("c"))
     spans, sizes, first = spans_of([bytes(r["c"]) for r in sample.collect()])
     for _ in range(SAMPLE_ROUNDS if len(spans) else 0):
-        model = improved(expected(model, spans, sizes, first), prior)
+        cuts = [slice(at, at + CUT) for at in range(0, len(spans), CUT)]
+        model = improved(sum(expected(model, spans[c], sizes[c], first[c]) for c in cuts), prior)
     trace = []
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((model.initial, model.trans, model.emission))
