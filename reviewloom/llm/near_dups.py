@@ -8,9 +8,9 @@ smaller values of both, so sketches can be merged. Classes that agree on a whole
 A bucket is never turned into all its pairs. First each member meets the bucket's smallest member; pairs whose
 registers rule out the wanted similarity by a likelihood test are left out, the others are confirmed on
 the full sets. Then, in buckets whose members still lie in different components, every member outside the
-bucket's largest component meets all members of other components. After that no pair of one bucket that lies in
-different components is untested, so components are those of all links between texts that meet in a bucket.
-Two texts at the threshold miss each other in all buckets with a probability of (1 - 0.8**6)**40 = 5e-6.
+bucket's largest component meets all members of other components: in small buckets as pairs, in large ones in tiles
+that are compared by matrix products. After that no pair of one bucket that can be a link and lies in different
+components is untested. Two texts at the threshold miss each other in all buckets with a probability of (1 - 0.8**6)**40 = 5e-6.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ REGISTERS = BAND_ROWS * BANDS
 SCALE_BASE, RATE, TOP = 1.001, 20.0, 65_534  # b, a and q of the sketch; registers run from 0 to q + 1
 EVIDENCE = 14.0  # log-likelihood by which the threshold must lose before a pair is ruled out
 MEMBERS_PER_TASK_GROUP = 2_000  # texts that meet one centre in one group of the exact check
+DIRECT_MEMBERS = 64  # of a bucket whose members can all meet as pairs; larger ones meet in tiles
+TILE_SHINGLES, TILE_COLUMNS = 200_000, 4_096  # of one side of a tile, on average, and of a product
 BROADCAST_IDS = 1_000_000  # ids of texts to fetch (8 bytes each) up to which the list is broadcast
 
 _odd = np.random.default_rng(20210)
@@ -235,6 +237,121 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return durable(pairs.mapInArrow(_plausible(percent), "a binary, b binary, rep_a long, rep_b long"))
 
 
+def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, node, comp): members of buckets with the component they are known to be in."""
+    return durable(
+        members.select("bucket", "node").join(found, "node", "left")
+        .select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    )
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components: with the largest one, one member of that, and the bucket's size."""
+    per_component = placed.groupBy("bucket", "comp").agg(F.count("*").alias("size"), F.min("node").alias("one"))
+    mixed = durable(
+        per_component.groupBy("bucket")
+        .agg(
+            F.count("*").alias("components"), F.sum("size").alias("members"),
+            F.max(F.struct("size", "comp", "one")).alias("largest"),
+        )
+        .where("components > 1")
+        .select("bucket", "members", F.col("largest.comp").alias("largest"), F.col("largest.one").alias("one"))
+    )
+    return placed.join(mixed, "bucket")
+
+
+def _across(mixed: DataFrame) -> DataFrame:
+    """All pairs of a bucket that lie in different components; one of the two is always outside the largest one."""
+    rest = mixed.where("comp != largest").select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
+    other = F.col("comp") != F.col("comp_a")
+    once = (F.col("comp") == F.col("largest")) | (F.col("a") < F.col("node"))
+    return rest.join(mixed, "bucket").where(other & once).select("a", F.col("node").alias("b")).distinct()
+
+
+def _tile(percent: int):
+    """Links between the two sides of a tile, one for each component that a node of the left side reaches."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        tile = tile.combine_chunks().sort_by("node")
+        found, bounds = words.shingles(tile["text"].combine_chunks())
+        nodes, comps = tile["node"].to_pylist(), tile["comp"].to_pylist()
+        size = np.diff(bounds)
+        _, column = np.unique(found, return_inverse=True)
+        owner = np.repeat(np.arange(len(nodes)), size)
+        left = np.flatnonzero(tile["is_rest"].to_numpy())
+        right = np.flatnonzero(~tile["is_rest"].to_numpy())
+        both = np.zeros((len(left), len(right)), dtype=np.float32)
+        row = np.zeros(len(nodes), dtype=np.int64)
+        row[left], row[right] = np.arange(len(left)), np.arange(len(right))
+        is_left = np.zeros(len(nodes), dtype=bool)
+        is_left[left] = True
+        # shared shingles of all pairs, by products of incidence matrices over ranges of shingles
+        for at in range(0, int(column.max(initial=-1)) + 1, TILE_COLUMNS):
+            here = np.flatnonzero((column >= at) & (column < at + TILE_COLUMNS))
+            sides = []
+            for side, count in ((True, len(left)), (False, len(right))):
+                own = here[is_left[owner[here]] == side]
+                matrix = np.zeros((count, TILE_COLUMNS), dtype=np.float32)
+                matrix[row[owner[own]], column[own] - at] = 1.0
+                sides.append(matrix)
+            both += sides[0] @ sides[1].T
+        either = size[left][:, None] + size[right][None, :] - both
+        out = {}
+        for i, j in zip(*np.nonzero((100 * both >= percent * either) & (either > 0)), strict=True):
+            a, b = left[i], right[j]
+            if comps[a] != comps[b]:
+                out.setdefault((nodes[a], comps[b]), nodes[b])
+        return pa.table({
+            "a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array(list(out.values()), pa.binary()),
+        })
+
+    return run
+
+
+def _in_tiles(large: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components among the members of large buckets (node, comp, one).
+
+    Buckets that share members make a cluster. What lies outside a cluster's largest component meets the whole cluster,
+    in tiles of bounded size, where all shared shingles are counted by a matrix product; pairs never leave a task.
+    """
+    clusters = components(large.select(F.col("node").alias("a"), F.col("one").alias("b")))
+    nodes = durable(
+        large.select("node", "comp").distinct().join(clusters.withColumnRenamed("comp", "cluster"), "node")
+        .join(classes.select("node", "rep", "n"), "node")
+    )
+    largest = nodes.groupBy("cluster", "comp").agg(F.count("*").alias("size"))
+    largest = largest.groupBy("cluster").agg(F.max(F.struct("size", "comp")).alias("largest"))
+    nodes = durable(
+        nodes.join(largest, "cluster").withColumn("outside", F.col("comp") != F.col("largest.comp")).drop("largest")
+    )
+
+    def blocks(side):
+        return F.greatest(F.ceil(F.sum(side) / TILE_SHINGLES), F.lit(1)).cast("int")
+
+    plan = durable(
+        nodes.groupBy("cluster").agg(
+            blocks(F.col("n")).alias("blocks"), blocks(F.when(F.col("outside"), F.col("n"))).alias("rest_blocks"),
+            F.max("outside").alias("mixed"),
+        ).where("mixed")
+    )
+    nodes = nodes.join(plan, "cluster")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rest_block = F.pmod(F.xxhash64("node"), F.col("rest_blocks")).cast("int")
+
+    def every(count):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    kept = ["cluster", "node", "comp", F.col("rep").alias("doc_id")]
+    rows = nodes.where("outside").select(
+        *kept, F.lit(True).alias("is_rest"), rest_block.alias("i"), every("blocks").alias("j")
+    ).unionByName(nodes.select(*kept, F.lit(False).alias("is_rest"), every("rest_blocks").alias("i"), block.alias("j")))
+    rows = durable(rows)
+    ids = rows.select("doc_id").distinct()
+    texts = docs.join(F.broadcast(ids) if rows.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    tiles = rows.join(texts, "doc_id").select("cluster", "i", "j", "node", "comp", "is_rest", "text")
+    return tiles.groupBy("cluster", "i", "j").applyInArrow(_tile(percent), "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
 
@@ -266,29 +383,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, carry: tuple[str, ...] =
     first = _likely(first, classes, percent)
     links = durable(confirmed(first, docs, percent))
     found = durable(components(links))
-    # then: what lies outside the largest component of a bucket against all of the bucket
-    placed = durable(
-        members.select("bucket", "node").join(found, "node", "left")
-        .select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    )
-    per_component = placed.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
-    mixed = (
-        per_component.groupBy("bucket")
-        .agg(F.count("*").alias("components"), F.max(F.struct("size", "comp")).alias("largest"))
-        .where("components > 1")
-        .select("bucket", F.col("largest.comp").alias("largest"))
-    )
-    mixed = durable(placed.join(mixed, "bucket"))
-    rest = mixed.where("comp != largest").select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-    second = (
-        rest.join(mixed, "bucket")
-        .where((F.col("comp") != F.col("comp_a")) & ((F.col("comp") == F.col("largest")) | (F.col("a") < F.col("node"))))
-        .select("a", F.col("node").alias("b"))
-        .distinct()
-    )
-    tested = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = _likely(second.join(tested, ["a", "b"], "left_anti"), classes, percent)
-    found = durable(components(links.unionByName(confirmed(second, docs, percent))))
+    # then, in buckets that hold several components, what lies outside the largest one against all others
+    mixed = durable(_mixed(_placed(members, found)))
+    second = _across(mixed.where(F.col("members") <= DIRECT_MEMBERS).drop("members"))
+    second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # the first pairs have the smaller node first, too
+    second = _likely(second.join(first.select("a", "b"), ["a", "b"], "left_anti"), classes, percent)
+    tiled = _in_tiles(mixed.where(F.col("members") > DIRECT_MEMBERS), classes, docs, percent)
+    found = durable(components(links.unionByName(confirmed(second, docs, percent)).unionByName(tiled)))
     grouped = classes.select("node", "rep").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = grouped.groupBy("comp").agg(F.min("rep").alias("least"))
     named = grouped.join(least, "comp").select(F.col("node").alias("digest"), F.col("least"))
