@@ -3,9 +3,10 @@
 Words are counted over all training texts. A hidden Markov model with ``STATES`` latent states emits word classes: the
 ``SINGLES`` most frequent words are classes of their own, all others fall into ``HASHED`` classes by hash, and inside a
 class a word has its smoothed share of the class's count (one more type stands for unseen words). So the model covers any
-vocabulary with a table of fixed size. Baum-Welch runs over all training tokens: each task adds up expected
-counts, which are summed in a tree. For that, texts are cut into spans of ``SPAN`` tokens; the score of a text is the exact
-scaled forward recursion over all of it.
+vocabulary with a table of fixed size. Baum-Welch starts with ``SAMPLE_ROUNDS`` rounds over about ``SAMPLE_SPANS`` spans on
+the driver. Then it runs over all training tokens, ``ROUNDS`` times at least and until a round gains less than ``SETTLED``
+in log-likelihood per token: each task adds up expected counts, which are summed in a tree. For that, texts are cut into
+spans of ``SPAN`` tokens; the score of a text is the exact scaled forward recursion over all of it.
 
 Counts of frequent words, at most ``FREQUENT``, are broadcast; tokens of other words meet their counts in a join.
 """
@@ -26,11 +27,12 @@ from reviewloom.llm.scope import fold
 from reviewloom.session import durable
 
 FOLDS, HELD_OUT = 5, 1
-STATES, SINGLES, HASHED = 6, 1_024, 1_024
+STATES, SINGLES, HASHED = 8, 1_024, 1_024
 CLASSES = SINGLES + HASHED
 FREQUENT = 300_000  # words whose counts are broadcast, 18 bytes each
-SPAN, ROUNDS = 128, 2  # tokens of a training span, and rounds of Baum-Welch over all training tokens
-SAMPLE_SPANS, SAMPLE_ROUNDS = 2_000, 10  # spans, about, and rounds of the start on the driver
+SPAN, ROUNDS = 128, 3  # tokens of a training span, and least rounds of Baum-Welch over all training tokens
+SETTLED = 1e-3  # gain per token, in natural logarithms, under which a round over all training tokens is the last
+SAMPLE_SPANS, SAMPLE_ROUNDS = 3_000, 15  # spans, about, and rounds of the start on the driver
 PRIOR = 200.0  # class counts, shaped like the corpus, that smooth each state
 CUT = 512  # spans whose vectors are held at a time
 FAN = 16  # tables of expected counts that are added at a time
@@ -163,38 +165,40 @@ def expected(model: Model, spans: np.ndarray, sizes: np.ndarray, first: np.ndarr
 
     ``spans`` is (spans, SPAN) classes, padded; ``first`` marks spans that begin a text.
     """
-    states = len(model.initial)
-    real = np.arange(SPAN)[None, :] < sizes[:, None]
+    states, n = len(model.initial), len(spans)
+    # longest spans first, so that those with a token at t are the first live[t]; arrays are (SPAN, states, spans)
+    order = np.argsort(-sizes, kind="stable")
+    spans, sizes, first = np.ascontiguousarray(spans[order].T), sizes[order], first[order]
+    live = np.searchsorted(-sizes, -np.arange(SPAN))
     middle = model.trans.mean(axis=0)
-    begin = np.where(first[:, None], model.initial[None, :], middle[None, :])
-    emit = np.where(real[:, :, None], model.emission[spans], 1.0)
-    ahead = np.empty((len(spans), SPAN + 1, states))
-    ahead[:, 0] = begin
-    loglik = 0.0
+    emission, trans = np.ascontiguousarray(model.emission.T), np.ascontiguousarray(model.trans.T)
+    ahead = np.empty((SPAN + 1, states, n))
+    ahead[0] = np.where(first[None, :], model.initial[:, None], middle[:, None])
+    emit = np.empty((SPAN, states, n))
+    totals = np.ones((SPAN, n))
     for t in range(SPAN):
-        now = (ahead[:, t] @ model.trans) * emit[:, t]
-        total = now.sum(axis=1, keepdims=True)
-        loglik += np.log(total[real[:, t]]).sum()
-        ahead[:, t + 1] = now / total
-    back = np.ones((len(spans), states))
-    counts = np.zeros((CLASSES, states))
+        m = live[t]
+        np.take(emission, spans[t, :m], axis=1, out=emit[t, :, :m], mode="clip")
+        now = (trans @ ahead[t, :, :m]) * emit[t, :, :m]
+        totals[t, :m] = now.sum(axis=0)
+        ahead[t + 1, :, :m] = now / totals[t, :m]
+    # scaled by the same totals, so that ahead * back adds up to one
+    back = np.ones((states, n))
     moves = np.zeros((states, states))
-    occupied = np.empty((len(spans), SPAN, states))
+    occupied = np.empty((states, int(sizes.sum())))
+    flat = np.empty(occupied.shape[1], dtype=np.int64)
+    at = 0
     for t in reversed(range(SPAN)):
-        inside = emit[:, t] * back
-        before = inside @ model.trans.T
-        weight = (ahead[:, t] * before).sum(axis=1, keepdims=True)
-        keep = real[:, t]
-        moves += (ahead[keep, t] / weight[keep]).T @ inside[keep]
-        here = ahead[:, t + 1] * back
-        occupied[:, t] = here / here.sum(axis=1, keepdims=True)
-        back = np.where(keep[:, None], before / before.sum(axis=1, keepdims=True), back)
-    start = ahead[:, 0] * back
-    start = (start / start.sum(axis=1, keepdims=True))[first].sum(axis=0)
-    flat = spans[real]
-    for s in range(states):
-        counts[:, s] = np.bincount(flat, occupied[:, :, s][real], CLASSES)
-    return np.concatenate([start, (moves * model.trans).reshape(-1), counts.reshape(-1), [loglik]])
+        m = live[t]
+        np.multiply(ahead[t + 1, :, :m], back[:, :m], out=occupied[:, at : at + m])
+        flat[at : at + m] = spans[t, :m]
+        at += m
+        inside = emit[t, :, :m] * back[:, :m] / totals[t, :m]
+        moves += ahead[t, :, :m] @ inside.T
+        back[:, :m] = model.trans @ inside
+    start = (ahead[0] * back)[:, first].sum(axis=1)
+    counts = np.stack([np.bincount(flat, o, CLASSES) for o in occupied], axis=1)
+    return np.concatenate([start, (moves * model.trans).reshape(-1), counts.reshape(-1), [np.log(totals).sum()]])
 
 
 def improved(counts: np.ndarray, prior: np.ndarray) -> Model:
@@ -275,7 +279,7 @@ def baum_welch(tokens: DataFrame, prior: np.ndarray) -> tuple[Model, list[float]
     model = random_model(prior)
     spark = tokens.sparkSession
     training = tokens.where("training").select("classes", "row", "n_tokens")
-    n = training.count()
+    n, size = training.agg(F.count("*"), F.sum("n_tokens")).first()
     if not n:
         return model, []
     drawn = F.shiftrightunsigned(F.xxhash64(F.lit(6), "row"), 11) / float(1 << 53) < min(1.0, SAMPLE_SPANS / n)
@@ -286,7 +290,8 @@ def baum_welch(tokens: DataFrame, prior: np.ndarray) -> tuple[Model, list[float]
         cuts = [slice(at, at + CUT) for at in range(0, len(spans), CUT)]
         model = improved(sum(expected(model, spans[c], sizes[c], first[c]) for c in cuts), prior)
     trace = []
-    for _ in range(ROUNDS):
+    # a log-likelihood has a bound, so gains of SETTLED a token come to an end
+    while len(trace) < ROUNDS or trace[-1] - trace[-2] >= SETTLED * size:
         shared = spark.sparkContext.broadcast((model.initial, model.trans, model.emission))
         counts = _summed(training.select("classes").mapInArrow(_expect(shared), "counts binary"))
         shared.unpersist()

@@ -400,6 +400,26 @@ def test_baum_welch_never_gets_worse():
     assert seen[-1] > seen[0]
 
 
+def test_baum_welch_runs_over_all_tokens_until_it_settles(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "SAMPLE_ROUNDS", 1)  # so that the start knows little
+    rng = np.random.default_rng(14)
+    rows, size = [], 0
+    for i in range(120):
+        n = int(rng.integers(1, 400))
+        state = np.cumsum(rng.random(n) < 0.1) % hmm.STATES
+        classes = np.where(rng.random(n) < 0.9, 5 * state + rng.integers(0, 5, n), rng.integers(0, 40, n)).astype(np.int16)
+        rows.append((i, True, bytearray(classes.tobytes()), n))
+        size += n
+    rows.append((200, False, bytearray(np.zeros(50, dtype=np.int16).tobytes()), 50))
+    tokens = spark.createDataFrame(rows, "row long, training boolean, classes binary, n_tokens long")
+    prior = np.zeros(hmm.CLASSES)
+    prior[:40] = 1 / 40
+    _, trace = hmm.baum_welch(tokens, prior)
+    gains = np.diff(trace) / size
+    assert hmm.STATES >= 8 and len(trace) > 3
+    assert gains[-1] < hmm.SETTLED and (gains[1:-1] >= hmm.SETTLED).all() and trace[-1] > trace[0]
+
+
 def test_mixing(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 16)
     rng = random.Random(13)
