@@ -33,7 +33,8 @@ SCALE_BASE, RATE, TOP = 1.001, 20.0, 65_534  # b, a and q of the sketch; registe
 EVIDENCE = 14.0  # log-likelihood by which the threshold must lose before a pair is ruled out
 MEMBERS_PER_TASK_GROUP = 2_000  # texts that meet one centre in one group of the exact check
 DIRECT_MEMBERS = 64  # of a bucket whose members can all meet as pairs; larger ones meet in tiles
-TILE_SHINGLES, TILE_COLUMNS = 200_000, 4_096  # of one side of a tile, on average, and of a product
+TILE_SHINGLES, TILE_TEXTS = 200_000, 2_000  # of one side of a tile, on average, whichever is reached first
+TILE_COLUMNS, SCORES = 4_096, 4_000_000  # shingles of a product, and pairs of a tile held at a time
 BROADCAST_IDS = 1_000_000  # ids of texts to fetch (8 bytes each) up to which the list is broadcast
 
 _odd = np.random.default_rng(20210)
@@ -280,27 +281,33 @@ def _tile(percent: int):
         owner = np.repeat(np.arange(len(nodes)), size)
         left = np.flatnonzero(tile["is_rest"].to_numpy())
         right = np.flatnonzero(~tile["is_rest"].to_numpy())
-        both = np.zeros((len(left), len(right)), dtype=np.float32)
-        row = np.zeros(len(nodes), dtype=np.int64)
-        row[left], row[right] = np.arange(len(left)), np.arange(len(right))
+        place = np.zeros(len(nodes), dtype=np.int64)
+        place[right] = np.arange(len(right))
         is_left = np.zeros(len(nodes), dtype=bool)
         is_left[left] = True
-        # shared shingles of all pairs, by products of incidence matrices over ranges of shingles
-        for at in range(0, int(column.max(initial=-1)) + 1, TILE_COLUMNS):
-            here = np.flatnonzero((column >= at) & (column < at + TILE_COLUMNS))
-            sides = []
-            for side, count in ((True, len(left)), (False, len(right))):
-                own = here[is_left[owner[here]] == side]
-                matrix = np.zeros((count, TILE_COLUMNS), dtype=np.float32)
-                matrix[row[owner[own]], column[own] - at] = 1.0
-                sides.append(matrix)
-            both += sides[0] @ sides[1].T
-        either = size[left][:, None] + size[right][None, :] - both
         out = {}
-        for i, j in zip(*np.nonzero((100 * both >= percent * either) & (either > 0)), strict=True):
-            a, b = left[i], right[j]
-            if comps[a] != comps[b]:
-                out.setdefault((nodes[a], comps[b]), nodes[b])
+        step = max(1, SCORES // max(1, len(right)))
+        for start in range(0, len(left), step):
+            strip = left[start : start + step]
+            inside = np.zeros(len(nodes), dtype=bool)
+            inside[strip] = True
+            place[strip] = np.arange(len(strip))
+            both = np.zeros((len(strip), len(right)), dtype=np.float32)
+            # shared shingles of all pairs, by products of incidence matrices over ranges of shingles
+            for at in range(0, int(column.max(initial=-1)) + 1, TILE_COLUMNS):
+                here = np.flatnonzero((column >= at) & (column < at + TILE_COLUMNS))
+                sides = []
+                for side, count in ((inside, len(strip)), (~is_left, len(right))):
+                    own = here[side[owner[here]]]
+                    matrix = np.zeros((count, TILE_COLUMNS), dtype=np.float32)
+                    matrix[place[owner[own]], column[own] - at] = 1.0
+                    sides.append(matrix)
+                both += sides[0] @ sides[1].T
+            either = size[strip][:, None] + size[right][None, :] - both
+            for i, j in zip(*np.nonzero((100 * both >= percent * either) & (either > 0)), strict=True):
+                a, b = strip[i], right[j]
+                if comps[a] != comps[b]:
+                    out.setdefault((nodes[a], comps[b]), nodes[b])
         return pa.table({
             "a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array(list(out.values()), pa.binary()),
         })
@@ -312,7 +319,7 @@ def _in_tiles(large: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     """Links (a, b) between components among the members of large buckets (node, comp, one).
 
     Buckets that share members make a cluster. What lies outside a cluster's largest component meets the whole cluster,
-    in tiles of bounded size, where all shared shingles are counted by a matrix product; pairs never leave a task.
+    in tiles bounded in shingles and texts, where all shared shingles are counted by a matrix product; pairs never leave a task.
     """
     clusters = components(large.select(F.col("node").alias("a"), F.col("one").alias("b")))
     nodes = durable(
@@ -326,7 +333,8 @@ def _in_tiles(large: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     )
 
     def blocks(side):
-        return F.greatest(F.ceil(F.sum(side) / TILE_SHINGLES), F.lit(1)).cast("int")
+        by_size = F.ceil(F.sum(side) / TILE_SHINGLES)
+        return F.greatest(by_size, F.ceil(F.count(side) / TILE_TEXTS), F.lit(1)).cast("int")
 
     plan = durable(
         nodes.groupBy("cluster").agg(

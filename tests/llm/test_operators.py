@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -121,6 +122,34 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_dups.near_duplicates(docs_of(spark, rows[:1]).where("false")).count() == 0
 
 
+def test_tiles_are_bounded_in_texts(spark, monkeypatch):
+    """Short texts by one template: few shingles, many texts."""
+    n = 5_000
+    lines = [f"Order {i} has been shipped" for i in range(n)]
+    keys = [i.to_bytes(4, "big") for i in range(n)]
+    side = [i % 2 == 0 for i in range(n)]
+    lines[1] = lines[4_998]  # a link between the sides
+    tile = pa.table({"node": pa.array(keys, pa.binary()), "comp": pa.array(keys, pa.binary()), "is_rest": side, "text": lines})
+    monkeypatch.setattr(near_dups, "SCORES", 500_000, raising=False)
+    tracemalloc.start()
+    got = near_dups._tile(80)(tile)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert got.to_pylist() == [{"a": keys[4_998], "b": keys[1]}]
+    assert peak < 4 * 2 * (n // 2) * near_dups.TILE_COLUMNS + 20e6  # the two incidence matrices, and little else
+
+    def counted(percent):
+        return lambda tile: pa.table({c: pa.array([str(pa.compute.sum(x).as_py()).encode()], pa.binary()) for c, x in (
+            ("a", tile["is_rest"]), ("b", pa.compute.invert(tile["is_rest"])))})
+
+    monkeypatch.setattr(near_dups, "_tile", counted)
+    whole = spark.createDataFrame([(bytearray(k), i, t) for i, (k, t) in enumerate(zip(keys, lines, strict=True))], "node binary, rep long, text string")
+    large = whole.select("node", F.col("node").alias("comp"), F.lit(keys[0]).alias("one"))
+    classes = whole.select("node", "rep", F.lit(4).alias("n"))
+    sides = near_dups._in_tiles(large, classes, whole.select(F.col("rep").alias("doc_id"), F.col("rep").alias("row"), "text"), 80).collect()
+    assert max(int(x) for r in sides for x in r) < 2_200
+
+
 def test_likelihood_keeps_similar_sets():
     rng = np.random.default_rng(1)
     for similarity, kept in ((0.8, True), (0.3, False)):
