@@ -72,7 +72,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 4) -> DataFrame:
     lines = durable(_sequences(docs))
     repeated = lines.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1").select("id")
     ids = _ranked(repeated, "id").select("id", F.col("rank").alias("r0"))
-    active = lines.join(ids, "id").drop("id")
+    # rows equal in doc_id and text are one document
+    active = lines.join(ids, "id").drop("id").dropDuplicates([*KEY, "seq"])
     within = W.partitionBy(*KEY).orderBy("seq")
     here = F.struct("seq", "words")
     # every line has a word, so a shortest counting run has at most min_words lines

@@ -388,6 +388,17 @@ def test_line_dedup(spark, min_words):
     assert line_dedup.drop_repeated_lines(docs_of(spark, rows).where("false")).count() == 0
 
 
+def test_line_dedup_takes_repeated_rows_as_one(spark):
+    rng = random.Random(16)
+    pool = ["a b", "c", "d e f", "g h i j k", "l"]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))) for i in range(30)]
+    rows += [(50, "p q\nr s\nt"), (51, "new\np q\nr s\nend")]
+    again = [r for r in rows if r[0] % 3 == 0]
+    got = line_dedup.drop_repeated_lines(docs_of(spark, rows + again + again), 4).collect()
+    want = brute_lines(rows, 4)
+    assert key(got) == key(want + 2 * [r for r in want if r[0] % 3 == 0])
+
+
 def test_hmm(spark, monkeypatch):
     monkeypatch.setattr(hmm, "FREQUENT", 20)
     monkeypatch.setattr(hmm, "FAN", 2)
