@@ -35,7 +35,7 @@ MEMBERS_PER_TASK_GROUP = 2_000  # texts that meet one centre in one group of the
 DIRECT_MEMBERS = 64  # of a bucket whose members can all meet as pairs; larger ones meet in tiles
 TILE_SHINGLES, TILE_TEXTS = 200_000, 2_000  # of one side of a tile, on average, whichever is reached first
 TILE_COLUMNS, SCORES = 4_096, 4_000_000  # shingles of a product, and pairs of a tile held at a time
-BROADCAST_IDS = 1_000_000  # ids of texts to fetch (8 bytes each) up to which the list is broadcast
+BROADCAST_IDS = 1_000_000  # ids of texts to fetch (16 bytes each) up to which the list is broadcast
 
 _odd = np.random.default_rng(20210)
 MULTIPLIERS = (_odd.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
@@ -44,6 +44,7 @@ BAND_FACTORS = (_odd.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) | np.uint6
 
 SKETCH_SCHEMA = "doc_id long, n_shingles long, digest binary, registers binary"
 OWN = ("doc_id", "text")
+ROW = "struct<doc_id: long, text_key: long>"  # by which a text is fetched; several texts can share a doc_id
 
 
 def registers_of(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -203,22 +204,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     Texts travel to the centre ``a``; a centre with many members is met by them in several salted groups.
     """
     needed = durable(
-        pairs.select(F.col("rep_a").alias("doc_id")).unionByName(pairs.select(F.col("rep_b").alias("doc_id"))).distinct()
+        pairs.select(F.col("rep_a").alias("row")).unionByName(pairs.select(F.col("rep_b").alias("row"))).distinct()
     )
     ids = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    texts = docs.join(ids, "doc_id", "left_semi")
+    texts = docs.join(ids, "row", "left_semi")
     degrees = pairs.groupBy("a").agg(F.count("*").alias("degree"))
     groups = F.ceil(F.col("degree") / MEMBERS_PER_TASK_GROUP).cast("int")
     salted = pairs.join(degrees, "a").withColumn(
         "salt", F.pmod(F.xxhash64("b"), F.greatest(groups, F.lit(1))).cast("int")
     )
     salted = durable(salted.select("a", "b", "salt", "rep_a", "rep_b"))
-    centres = salted.select("a", "salt", F.col("rep_a").alias("doc_id")).distinct()
-    members = salted.select("a", "salt", "b", F.col("rep_b").alias("doc_id"))
-    rows = centres.select("a", "salt", F.col("a").alias("b"), F.lit(True).alias("is_centre"), "doc_id").unionByName(
-        members.select("a", "salt", "b", F.lit(False).alias("is_centre"), "doc_id")
+    centres = salted.select("a", "salt", F.col("rep_a").alias("row")).distinct()
+    members = salted.select("a", "salt", "b", F.col("rep_b").alias("row"))
+    rows = centres.select("a", "salt", F.col("a").alias("b"), F.lit(True).alias("is_centre"), "row").unionByName(
+        members.select("a", "salt", "b", F.lit(False).alias("is_centre"), "row")
     )
-    near = rows.join(texts, "doc_id").select("a", "salt", "b", "is_centre", "text")
+    near = rows.join(texts, "row").select("a", "salt", "b", "is_centre", "text")
     near = near.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("is_centre"))
     return near.mapInArrow(_confirm(percent), "a binary, b binary")
 
@@ -235,7 +236,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             pairs = pairs.where(
                 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
             )
-    return durable(pairs.mapInArrow(_plausible(percent), "a binary, b binary, rep_a long, rep_b long"))
+    return durable(pairs.mapInArrow(_plausible(percent), f"a binary, b binary, rep_a {ROW}, rep_b {ROW}"))
 
 
 def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -349,14 +350,14 @@ def _in_tiles(large: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     def every(count):
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    kept = ["cluster", "node", "comp", F.col("rep").alias("doc_id")]
+    kept = ["cluster", "node", "comp", F.col("rep").alias("row")]
     rows = nodes.where("outside").select(
         *kept, F.lit(True).alias("is_rest"), rest_block.alias("i"), every("blocks").alias("j")
     ).unionByName(nodes.select(*kept, F.lit(False).alias("is_rest"), every("rest_blocks").alias("i"), block.alias("j")))
     rows = durable(rows)
-    ids = rows.select("doc_id").distinct()
-    texts = docs.join(F.broadcast(ids) if rows.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    tiles = rows.join(texts, "doc_id").select("cluster", "i", "j", "node", "comp", "is_rest", "text")
+    ids = rows.select("row").distinct()
+    texts = docs.join(F.broadcast(ids) if rows.count() <= BROADCAST_IDS else ids, "row", "left_semi")
+    tiles = rows.join(texts, "row").select("cluster", "i", "j", "node", "comp", "is_rest", "text")
     return tiles.groupBy("cluster", "i", "j").applyInArrow(_tile(percent), "a binary, b binary")
 
 
@@ -369,14 +370,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, carry: tuple[str, ...] =
     component_id and is kept. Rows that repeat a doc_id are texts of their own; all rows whose doc_id is
     the smallest of their component are kept. Columns named in ``carry`` come along, others are not read.
     """
-    carried = docs.select(*OWN, *carry)
-    docs = docs.select(*OWN)
-    sketches = durable(carried.mapInArrow(_sketch, ", ".join(filter(None, [SKETCH_SCHEMA, fields(carried, carry)]))))
+    row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*OWN).alias("text_key")).alias("row")
+    carried = docs.select(*OWN, row, *carry)
+    docs = docs.select(row, "text")
+    sketches = durable(carried.mapInArrow(_sketch, ", ".join([SKETCH_SCHEMA, fields(carried, ("row", *carry))])))
     usable = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
     classes = durable(
         sketches.where(usable)
         .groupBy(F.col("digest").alias("node"))
-        .agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("registers").alias("registers"))
+        .agg(F.min("row").alias("rep"), F.min("n_shingles").alias("n"), F.first("registers").alias("registers"))
     )
     buckets = classes.select(F.col("node").alias("digest"), "registers").mapInArrow(_bands, "bucket long, node binary")
     several = (
@@ -400,7 +402,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, carry: tuple[str, ...] =
     tiled = _in_tiles(mixed.where(F.col("members") > DIRECT_MEMBERS), classes, docs, percent)
     found = durable(components(links.unionByName(confirmed(second, docs, percent)).unionByName(tiled)))
     grouped = classes.select("node", "rep").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = grouped.groupBy("comp").agg(F.min("rep").alias("least"))
+    least = grouped.groupBy("comp").agg(F.min("rep.doc_id").alias("least"))
     named = grouped.join(least, "comp").select(F.col("node").alias("digest"), F.col("least"))
     slim = sketches.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"), *carry)
     linked = slim.where(F.col("digest").isNotNull()).join(named, "digest")

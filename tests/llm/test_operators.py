@@ -122,6 +122,19 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_dups.near_duplicates(docs_of(spark, rows[:1]).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("direct", [6, 1_000])
+def test_near_duplicates_of_texts_that_share_a_doc_id(spark, monkeypatch, direct):
+    monkeypatch.setattr(near_dups, "DIRECT_MEMBERS", direct)
+    rng = random.Random(15)
+    vocab = [f"w{i}" for i in range(400)]
+    rows = []
+    for k in range(4):
+        base = [rng.choice(vocab) for _ in range(60)]
+        rows += [(i, " ".join(w if rng.random() > 0.08 else rng.choice(vocab) for w in base)) for i in range(20)]
+    got = near_dups.near_duplicates(docs_of(spark, rows)).collect()
+    assert key(got) == key(brute_components(rows))
+
+
 def test_tiles_are_bounded_in_texts(spark, monkeypatch):
     """Short texts by one template: few shingles, many texts."""
     n = 5_000
