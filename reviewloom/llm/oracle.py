@@ -1,11 +1,11 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express.
 
-Predicted languages, model scores, Markov spans, drawn copies and piece ids have none.
+Predicted languages, model scores, Markov spans, drawn copies, piece ids, spelling variants (crc32) and eigenvectors have none.
 """
 
 from __future__ import annotations
 
-from reviewloom.llm.queries import MIN_WORDS, NEAREST, QUERY_EVERY, SIMILAR_PERCENT
+from reviewloom.llm.queries import JOIN_PERCENT, MIN_WORDS, NEAREST, QUERY_EVERY, SIMILAR_PERCENT
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]"
@@ -97,6 +97,32 @@ SELECT s.doc_id, CASE WHEN s.text IS NULL THEN NULL ELSE coalesce(k.text, '') EN
 FROM split s JOIN kept k ON s.doc_id = k.doc_id
 """
 
+OP12 = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 3 THEN list_filter([array_to_string(w, ' ')], lambda x: x <> '')
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words
+), members AS (
+  SELECT doc_id, unnest(s) AS shingle FROM sets
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM members a JOIN members b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+  WHERE 100 * n >= {JOIN_PERCENT} * (len(x.s) + len(y.s) - n)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, e.b FROM reached r JOIN ways e ON r.b = e.a
+), least AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least USING (doc_id)
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op1_topk": OP1, "op2_near_dups": OP2, "op5_exact_dups": OP5, "op7_warc": OP7, "op8_line_dedup": OP8}
+    return {
+        "op1_topk": OP1, "op2_near_dups": OP2, "op5_exact_dups": OP5, "op7_warc": OP7, "op8_line_dedup": OP8,
+        "op12_ngram_join": OP12,
+    }

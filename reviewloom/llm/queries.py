@@ -17,8 +17,11 @@ from reviewloom.llm import (
     near_dups,
     pieces,
     secrets,
+    signature_trees,
     topk,
+    variants,
     warc,
+    whitening,
 )
 from reviewloom.session import checkpoint_dir
 
@@ -28,6 +31,7 @@ QUERIES: dict[str, Query] = {}
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # a public tokenizer's vocabulary
 QUERY_EVERY, NEAREST = 50, 5
 SIMILAR_PERCENT = 80
+JOIN_PERCENT, JOIN_WIDTH = 90, 3
 MIN_WORDS = 4  # words of a run of lines from which later copies are deleted
 
 
@@ -106,3 +110,19 @@ def op9_hmm(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op10_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mixed(_table(spark, root, "documents")).drop("row", "copies")
+
+
+@query
+def op11_variants(spark: SparkSession, root: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, root, "documents"))
+
+
+@query
+def op12_ngram_join(spark: SparkSession, root: str) -> DataFrame:
+    """Texts linked by nine tenths of their three-word shingles."""
+    return signature_trees.linked(_table(spark, root, "documents"), JOIN_PERCENT, JOIN_WIDTH)
+
+
+@query
+def op13_whitening(spark: SparkSession, root: str) -> DataFrame:
+    return whitening.whitened(whitening.quantised(_table(spark, root, "embeddings")))

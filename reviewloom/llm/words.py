@@ -109,21 +109,29 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hash_ranges(data, starts, ends), text
 
 
-def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of each text's pairs of neighbouring words, sorted, and the bounds of each text.
+def shingles(texts: pa.Array, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of each text's runs of ``width`` neighbouring words, sorted, and the bounds of each text.
 
-    A text of one word has that word as its only shingle; a text without words has none.
+    A text of fewer words has the whole sequence as its only shingle; a text without words has none.
     """
     hashes, text = word_hashes(texts)
     if not len(hashes):
         return hashes, np.zeros(len(texts) + 1, dtype=np.int64)
-    same = text[1:] == text[:-1]
-    pairs = mix(hashes[:-1] * LEFT + hashes[1:] * RIGHT)[same]
-    owner = text[:-1][same]
     sizes = np.bincount(text, minlength=len(texts))
-    single = np.flatnonzero(sizes[text] == 1)
-    found = np.concatenate([pairs, mix(hashes[single] * ALONE)])
-    owner = np.concatenate([owner, text[single]])
+    firsts = np.cumsum(sizes) - sizes
+    grams, short = hashes, [mix(hashes[firsts[sizes == 1]] * ALONE)]
+    owners = [np.flatnonzero(sizes == 1)]
+    same = sizes[text] > 1  # at width one, single words are among ``short``
+    for k in range(2, width + 1):
+        n = max(0, len(hashes) - k + 1)
+        same = text[k - 1 :] == text[:n]
+        grams = mix(grams[:n] * LEFT + hashes[k - 1 :] * RIGHT)
+        whole = np.flatnonzero(sizes == k)
+        if k < width:
+            short.append(mix(grams[firsts[whole]] * ALONE + np.uint64(k)))
+            owners.append(whole)
+    found = np.concatenate([grams[same], *short])
+    owner = np.concatenate([text[: len(same)][same], *owners])
     order = np.lexsort((found, owner))
     found, owner = found[order], owner[order]
     fresh = np.ones(len(found), dtype=bool)
