@@ -1,5 +1,7 @@
 """Each operator against brute force on small fixtures: nulls, empty texts, ties, repeated rows, empty tables, extra columns."""
 
+import base64
+import gzip
 import hashlib
 import math
 import random
@@ -182,6 +184,14 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(21)}, 30: 30, 31: 30, 32: 30, 50: 50, 98: 50, 99: 50}
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HEAVY", 5)
+    edges = [(7, 100 + i) for i in range(60)] + [(100 + i, 300 + i) for i in range(20)] + [(3, 305), (900, 901)] + [(800, 810 + i) for i in range(9)]
+    got = dict(graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    want = {v: 3 for v in [3, 7, *range(100, 160), *range(300, 320)]} | {900: 900, 901: 900} | {v: 800 for v in [800, *range(810, 819)]}
+    assert got == want
+
+
 def test_chain_equals_plain_recursion():
     rng = np.random.default_rng(2)
     trans = rng.uniform(0.1, 1, (3, 3))
@@ -340,10 +350,10 @@ def test_archives(spark, tmp_path, size):
 
 def test_archive_pieces_are_put_together():
     """A record with the magic inside its compressed bytes, cut there."""
-    record = warc._record(1, "u", "x" * 200, 200, hashlib.sha256(b"x" * 200).hexdigest(), None)
+    record = warc._record(1, "u", "x" * 200, 200, hashlib.sha256(b"x" * 200).hexdigest(), None, "d")
     packer = zlib.compressobj(0, zlib.DEFLATED, 31)  # stored, so that the magic survives
     html = "x" * 50 + "MAGIC" + "y" * 50
-    record = warc._record(1, "u", html, 105, hashlib.sha256(html.replace("MAGIC", "\x1f\x01").encode()).hexdigest(), None)
+    record = warc._record(1, "u", html, 105, hashlib.sha256(html.replace("MAGIC", "\x1f\x01").encode()).hexdigest(), None, "d")
     raw = record.replace(b"MAGIC", b"\x1f\x8b\x08")
     digest = hashlib.sha256(raw.split(b"\r\n\r\n")[2][:103]).hexdigest().encode()
     raw = re.sub(rb"sha256:\w+", b"sha256:" + digest, raw).replace(b"Content-Length: 105", b"Content-Length: 103")
@@ -352,12 +362,79 @@ def test_archive_pieces_are_put_together():
     values = member.split(warc.MAGIC)
     assert len(values) == 3
     batch = pa.RecordBatch.from_pydict({"value": pa.array(values, pa.binary()), "file": ["f"] * 3, "begins": [0, 0, 0]})
-    whole = pa.Table.from_batches(list(warc._owned([batch]))).to_pylist()
+    whole = pa.Table.from_batches(list(warc._owned(True)([batch]))).to_pylist()
     assert [r["page_id"] for r in whole] == [1]
     batch = pa.RecordBatch.from_pydict({"value": pa.array(values, pa.binary()), "file": ["f"] * 3, "begins": [0, 0, 40]})
-    cut = pa.Table.from_batches(list(warc._owned([batch])))
+    cut = pa.Table.from_batches(list(warc._owned(True)([batch])))
     assert [r["part"] for r in cut.to_pylist()] == [0, 1]
-    assert [r["page_id"] for r in warc._stitched(cut).to_pylist()] == [1]
+    assert [r["page_id"] for r in warc._stitched(True)(cut).to_pylist()] == [1]
+
+
+def standard_record(kind, record_id, block, *headers):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Date: 2024-05-01T00:00:00Z", f"WARC-Record-ID: <urn:uuid:{record_id}>", *headers]
+    return gzip.compress(("\r\n".join(lines) + f"\r\nContent-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n")
+
+
+@pytest.mark.parametrize("size", ["128m", "997"])
+def test_standard_archives(spark, tmp_path, size):
+    """Files as crawlers write them, whatever their names: all record types, SHA-1 digests, mixed-case and folded headers."""
+    rng = random.Random(12)
+    want = []
+    for file in ("a.warc.gz", "b.warc", "c.open.gz"):
+        raw = standard_record("warcinfo", f"{file}-i", b"software: test\r\n", "Content-Type: application/warc-fields")
+        want.append((f"urn:uuid:{file}-i", None, "warcinfo", b"software: test\r\n", None))
+        for i in range(12):
+            body = rng.randbytes(700) + "é".encode()
+            http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body
+            sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+            raw += standard_record("request", f"{file}-q{i}", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", "Content-Type: application/http; msgtype=request")
+            want.append((f"urn:uuid:{file}-q{i}", None, "request", b"", None))
+            raw += standard_record("response", f"{file}-{i}", http, f"warc-target-uri: http://x/{i}", "Content-Type:\r\n application/http", f"WARC-Payload-Digest: sha1:{sha}")
+            want.append((f"urn:uuid:{file}-{i}", f"http://x/{i}", "response", body, None))
+        raw += standard_record("revisit", f"{file}-r", b"", "WARC-Payload-Digest: sha1:ABC", f"WARC-Refers-To: <urn:uuid:{file}-0>")
+        want.append((f"urn:uuid:{file}-r", None, "revisit", None, f"urn:uuid:{file}-0"))
+        (tmp_path / file).write_bytes(raw)
+    (tmp_path / "empty.warc.gz").write_bytes(b"")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = warc.read_archives(spark, str(tmp_path)).collect()
+        slim = warc.read_archives(spark, str(tmp_path), payload=False).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert key((r.record_id, r.url, r.record_type, bytes(r.payload) if r.payload is not None else None, r.refers_to_id) for r in got) == key(want)
+    assert {r.page_id for r in got} == {None}
+    for r in got:
+        if r.record_type == "revisit":
+            assert r.payload_digest == "sha1:ABC" and r.payload_bytes is None
+        else:
+            assert (r.payload_bytes, r.payload_digest) == (len(r.payload), hashlib.sha256(bytes(r.payload)).hexdigest())
+    assert key((r.record_id, r.payload_bytes, r.payload_digest, r.payload) for r in slim) == key((r.record_id, r.payload_bytes, r.payload_digest, None) for r in got)
+
+
+@pytest.mark.parametrize("raw", [b"no archive at all", gzip.compress(b"text"), standard_record("resource", "x", b"y" * 500)[:-40]])
+def test_archives_without_whole_records_are_errors(spark, tmp_path, raw):
+    (tmp_path / "good.warc.gz").write_bytes(standard_record("resource", "x", b"y" * 500))
+    (tmp_path / "bad.warc.gz").write_bytes(raw)
+    with pytest.raises(Exception, match="no record|cut off"):
+        warc.read_archives(spark, str(tmp_path)).collect()
+
+
+def test_damaged_payloads_are_errors():
+    record = gzip.decompress(standard_record("resource", "x", b"yy", "WARC-Payload-Digest: sha1:" + "A" * 32))
+    with pytest.raises(ValueError, match="damaged"):
+        warc.parsed(record)
+
+
+def test_archives_of_an_empty_table(spark, tmp_path):
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "a"))
+    assert warc.read_archives(spark, str(tmp_path / "a")).count() == 0
+
+
+def test_runs_of_long_words_are_cut(spark):
+    """A sample of texts without blanks stays bounded in characters."""
+    docs = spark.range(40).selectExpr("id as doc_id", "repeat(char(97 + id % 20), 200000) as text", "'x' as lang")
+    runs = language.samples_of(docs)
+    assert runs and max(len(r) for r, _ in runs) == language.SAMPLE_CHARS
 
 
 def brute_lines(rows, min_words):
