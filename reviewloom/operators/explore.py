@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from reviewloom.functions.scalar import sample_key
+from reviewloom.functions.scalar import rounded, sample_key
 from reviewloom.functions.text import words
+from reviewloom.operators.numbering import running_total
+from reviewloom.operators.quantiles import column_quantiles, quantiles
+from reviewloom.session import durable
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> DataFrame:
@@ -27,24 +30,30 @@ def top_values(df: DataFrame, col: str, n: int = 10) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), col).limit(n)
 
 
-def _five_numbers(value: str) -> list[Column]:
-    return [
-        F.min(value).cast("double").alias("min_value"),
-        F.max(value).cast("double").alias("max_value"),
-        F.round(F.avg(value), 6).alias("avg_value"),
-        *[F.round(F.percentile(value, F.lit(q)), 6).alias(name) for q, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))],
-    ]
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 def _group_stats(df: DataFrame, value: Column, groups: Sequence[str], rating: str) -> DataFrame:
-    overall = df.agg(F.round(F.avg(rating), 6).alias("global_avg")).scalar()
-    parts = [
-        df.groupBy(g).agg(value.alias("_v")).agg(*_five_numbers("_v")).withColumn("grouped_by", F.lit(g)) for g in groups
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.withColumn("global_avg", overall)
+    """Spread of a value over the groups of each column, and the mean rating, from one scan of ``df``.
+
+    The scan sums by all grouping columns at once; the few numbers per group are written, and the quantile passes read them.
+    """
+    number = sum(F.when(F.grouping(g) == 0, i).otherwise(0) for i, g in enumerate(groups))
+    grouped = df.groupingSets([[g] for g in groups], *groups).agg(
+        number.alias("_set"), value.alias("_v"), F.sum(rating).alias("_sum"), F.count(rating).alias("_n")
+    )
+    values = durable(grouped.select("_set", F.col("_v").cast("double").alias("_v"), "_sum", "_n"))
+    found = quantiles(values.select(F.col("_set").alias("series"), F.col("_v").alias("value")), QUARTILES)
+    columns = [F.element_at(F.create_map(*[F.lit(x) for i in found for x in (int(i), found[i][k])]), F.col("_set")) if found else F.lit(None).cast("double") for k in range(len(QUARTILES))]
+    names = F.array(*[F.lit(g) for g in groups])
+    stats = values.groupBy("_set").agg(
+        F.min("_v").alias("min_value"), F.max("_v").alias("max_value"), F.round(F.avg("_v"), 6).alias("avg_value"),
+        F.round(F.sum("_sum") / F.sum("_n"), 6).alias("global_avg"),
+    )
+    quarters = [F.round(c, 6).alias(name) for c, name in zip(columns, ("q25", "q50", "q75"), strict=True)]
+    return stats.select(
+        "min_value", "max_value", "avg_value", *quarters, F.get(names, F.col("_set")).alias("grouped_by"), "global_avg"
+    )
 
 
 def review_count_stats(
@@ -75,8 +84,12 @@ def mean_ratings(df: DataFrame, key: str = "item_id", counted: str = "review_id"
 
 
 def weighted_ratings(means: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """Add the mean rating pulled to the mean of all keys, the more so the fewer reviews a key has."""
-    m = means.agg(F.percentile("rating_count", F.lit(threshold)).alias("m")).scalar()
+    """Add the mean rating pulled to the mean of all keys, the more so the fewer reviews a key has.
+
+    ``means`` is written once, as the quantile of the counts takes several passes.
+    """
+    means = durable(means)
+    m = F.lit(column_quantiles(means, ["rating_count"], [threshold])["rating_count"][0]).cast("double")
     centre = means.agg(F.avg("rating_avg").alias("c")).scalar()
     n = F.col("rating_count")
     return means.withColumn("rating_weighted", n / (n + m) * F.col("rating_avg") + m / (n + m) * centre)
@@ -88,22 +101,28 @@ def top_by(df: DataFrame, by: str, tie: str, n: int = 25) -> DataFrame:
 
 def text_stats(df: DataFrame, text: str = "review_text") -> DataFrame:
     """Spread of text lengths in characters and in words."""
-    sizes = df.select(F.length(text).alias("chars"), F.size(words(F.col(text))).alias("n_words"))
-    return sizes.agg(*_size_stats("chars"), *_size_stats("n_words"))
-
-
-def _size_stats(col: str) -> list[Column]:
-    return [
-        F.min(col).alias(f"min_{col}"),
-        F.max(col).alias(f"max_{col}"),
-        F.round(F.avg(col), 6).alias(f"avg_{col}"),
-        F.percentile(col, F.lit(0.5)).alias(f"median_{col}"),
-    ]
+    return _spread(df.select(F.length(text).alias("chars"), F.size(words(F.col(text))).alias("n_words")))
+
+
+def _spread(sizes: DataFrame) -> DataFrame:
+    """Smallest, largest, mean and median of every column, as one row."""
+    sizes = durable(sizes)
+    medians = column_quantiles(sizes, sizes.columns, [0.5])
+    return sizes.agg(
+        *(
+            c
+            for col in sizes.columns
+            for c in (
+                F.min(col).alias(f"min_{col}"), F.max(col).alias(f"max_{col}"), F.round(F.avg(col), 6).alias(f"avg_{col}"),
+                F.lit(medians[col][0]).cast("double").alias(f"median_{col}"),
+            )
+        )
+    )
 
 
 def token_stats(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Spread of token counts."""
-    return df.select(F.size(tokens).alias("n_tokens")).agg(*_size_stats("n_tokens"))
+    return _spread(df.select(F.size(tokens).alias("n_tokens")))
 
 
 def distinct_tokens(df: DataFrame, text: str) -> DataFrame:
@@ -111,16 +130,23 @@ def distinct_tokens(df: DataFrame, text: str) -> DataFrame:
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """One row per column: count, distinct values, most frequent value, and moments of numbers."""
-    plain = df.select(*[F.col(c) for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))])
+    """One row per column: count, distinct values, most frequent value, and moments and quartiles of numbers.
+
+    Mean, standard deviation (of a sample, in two passes) and quartiles are null for columns that hold no numbers.
+    """
+    plain = durable(df.select(*[F.col(c) for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))]))
+    numbers = [f.name for f in plain.schema.fields if isinstance(f.dataType, T.NumericType)]
+    quarters = column_quantiles(plain, numbers, QUARTILES) if numbers else {}
+    means = plain.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in numbers]).first() if numbers else {}
     parts = []
-    for field in plain.schema.fields:
-        c = field.name
-        numeric = isinstance(field.dataType, T.NumericType)
-        freq = plain.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+    for c in plain.columns:
+        numeric = c in numbers
         x = F.col(c).cast("double") if numeric else F.lit(None).cast("double")
+        centre = means[c] if numeric else None
+        q = quarters.get(c, [None] * 3)
+        freq = plain.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
         n = F.sum("_n")
-        mean = F.sum(x * F.col("_n")) / n
+        apart = (x - F.lit(centre).cast("double")) ** 2 * F.col("_n")
         parts.append(
             freq.agg(
                 F.lit(c).alias("column_name"),
@@ -128,8 +154,10 @@ def describe(df: DataFrame) -> DataFrame:
                 F.count(F.lit(1)).alias("n_distinct"),
                 F.max_by(F.struct(F.col(c).cast("string").alias("v")), F.struct("_n", c))["v"].alias("top"),
                 F.max("_n").alias("top_freq"),
-                F.round(mean, 6).alias("avg"),
+                F.round(F.lit(centre).cast("double"), 6).alias("avg"),
+                F.round(F.sqrt(F.try_divide(F.sum(apart), n - 1)), 6).alias("sd"),
                 F.min(x).alias("min"),
+                *[rounded(F.lit(v).cast("double")).alias(name) for v, name in zip(q, ("q25", "q50", "q75"), strict=True)],
                 F.max(x).alias("max"),
             )
         )
@@ -165,12 +193,11 @@ def long_tail(df: DataFrame, key: str = "item_id", counted: str = "review_id", q
 
     The curve of counts in falling order, stored as one row per distinct count.
     """
-    counts = df.groupBy(key).agg(F.count(counted).alias("n_reviews"))
+    counts = durable(df.groupBy(key).agg(F.count(counted).alias("n_reviews")).select("n_reviews"))
     curve = counts.groupBy("n_reviews").agg(F.count(F.lit(1)).alias("n_items"))
-    # one row per distinct count: far fewer than items, so one ordered task is enough
-    upto = F.sum("n_items").over(W.orderBy(F.desc("n_reviews")))
-    cut = counts.agg(F.percentile("n_reviews", F.lit(q)).alias("q")).scalar()
-    return curve.select("n_reviews", "n_items", upto.alias("items_at_least"), F.round(cut, 6).alias("quantile"))
+    upto = running_total(curve, "n_items", "items_at_least", F.desc("n_reviews"))
+    cut = F.lit(column_quantiles(counts, ["n_reviews"], [q])["n_reviews"][0]).cast("double")
+    return upto.select("n_reviews", "n_items", "items_at_least", F.round(cut, 6).alias("quantile"))
 
 
 def length_slice(df: DataFrame, key: str, text: str, start: int = 500, n: int = 100) -> DataFrame:

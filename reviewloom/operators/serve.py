@@ -2,39 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.operators.explore import sample_users
+from reviewloom.sources import lookup
+
+USER, RANK, ALGORITHM = "user_id", "item_rank", "algorithm"
+
+
+def store_recommendations(recommendations: DataFrame, name: str, path: str | None = None, buckets: int | None = None) -> DataFrame:
+    """Store (user_id, item_rank, item_id, algorithm, title); storing an algorithm again replaces its lists."""
+    return lookup.store(recommendations, name, USER, (RANK, "item_id", "title"), (ALGORITHM,), path=path, buckets=buckets)
+
+
+def store_history(train: DataFrame, name: str, path: str | None = None, buckets: int | None = None) -> DataFrame:
+    """Store every user's reviews (user_id, item_id, title) for lookups by user."""
+    return lookup.store(train.select(USER, "item_id", "title"), name, USER, ("item_id", "title"), path=path, buckets=buckets)
 
 
 def list_users(recommendations: DataFrame) -> DataFrame:
-    return recommendations.select("user_id").distinct()
+    """Distinct users; on a stored table without a shuffle, as its buckets hold whole users."""
+    return recommendations.select(USER).distinct()
 
 
-def history(train: DataFrame, user: object) -> DataFrame:
-    return train.sparkSession.sql(
-        "SELECT item_id, title FROM {train} WHERE user_id = :user", args={"user": user}, train=train
-    )
+def history(spark: SparkSession, table: str, user: object) -> DataFrame:
+    """(item_id, title) of one user's reviews, from a stored table."""
+    return lookup.find(spark, table, user_id=user).select("item_id", "title")
 
 
-def top_n(recommendations: DataFrame, user: object, algorithm: str, n: int) -> DataFrame:
-    """First n items of one user and algorithm. Values travel as parameters, never as SQL text."""
-    return recommendations.sparkSession.sql(
-        """
-        SELECT * FROM {recs}
-        WHERE user_id = :user AND algorithm = :algorithm
-        ORDER BY item_rank LIMIT :n
-        """,
-        args={"user": user, "algorithm": algorithm.upper(), "n": n},
-        recs=recommendations,
-    )
+def top_n(spark: SparkSession, table: str, user: object, algorithm: str, n: int) -> DataFrame:
+    """First n items of one user and algorithm, from a stored table."""
+    return lookup.find(spark, table, (RANK,), n, user_id=user, algorithm=algorithm.upper())
 
 
 def demo_extract(recommendations: DataFrame, n_users: int = 100, seed: int = 42, pinned: tuple = ()) -> DataFrame:
     """All recommendations of a repeatable sample of users and of the pinned users."""
     users = sample_users(recommendations, n_users, seed, pinned)
-    return recommendations.join(users, "user_id", "left_semi")
+    return recommendations.join(users, USER, "left_semi")
 
 
 def metrics_of(metrics: DataFrame, category: str) -> DataFrame:

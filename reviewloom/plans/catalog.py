@@ -17,8 +17,10 @@ from reviewloom.operators import (
     explore,
     factorise,
     neighbours,
+    numbering,
     paragraph,
     recommend,
+    reshape,
     serve,
     split,
     topics,
@@ -30,7 +32,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # Parameters of the queries; the oracle uses the same ones.
-USER, OTHER_USER, ITEM = 1, 2, 3
+USER, ITEM = 1, 3
+SHARING = (0, 44)  # users who have items in common
 PINNED = (5,)
 LEMMAS = (
     ("des", "de"), ("les", "le"), ("los", "el"), ("las", "el"), ("der", "die"), ("das", "die"),
@@ -517,19 +520,29 @@ def recommendations_table(spark: SparkSession, root: str) -> DataFrame:
     return _table(spark, root)[1]
 
 
+def _stored(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """All lists in the lookup table of this name; running again replaces them."""
+    return serve.store_recommendations(_table(spark, root)[1], name)
+
+
 @query
 def serve_users(spark: SparkSession, root: str) -> DataFrame:
-    return serve.list_users(_table(spark, root)[1])
+    """Distinct users of the stored table."""
+    return serve.list_users(_stored(spark, root, "recommendations_users"))
 
 
 @query
 def serve_history(spark: SparkSession, root: str) -> DataFrame:
-    return serve.history(with_titles(train_of(spark, root), spark, root), USER)
+    """One user's reviews, from a stored table of all users' reviews."""
+    serve.store_history(with_titles(train_of(spark, root), spark, root), "histories")
+    return serve.history(spark, "histories", USER)
 
 
 @query
 def serve_top_n(spark: SparkSession, root: str) -> DataFrame:
-    return serve.top_n(_table(spark, root)[1], USER, "er-cbf", 10)
+    """One user's list, looked up in the stored table of all lists."""
+    _stored(spark, root, "recommendations_top_n")
+    return serve.top_n(spark, "recommendations_top_n", USER, "er-cbf", 10)
 
 
 @query
@@ -543,12 +556,54 @@ def user_report(spark: SparkSession, root: str) -> DataFrame:
 @query
 def common_items(spark: SparkSession, root: str) -> DataFrame:
     reviews = with_titles(tables.reviews(spark, root), spark, root)
-    return neighbours.common_items(reviews, USER, OTHER_USER)
+    return neighbours.common_items(reviews, *SHARING)
 
 
 @query
 def demo_extract(spark: SparkSession, root: str) -> DataFrame:
-    return serve.demo_extract(durable(_table(spark, root)[1]), 100, pinned=PINNED)
+    """Lists of sampled users, taken from the stored table and stored as a table of their own."""
+    stored = _stored(spark, root, "recommendations_all")
+    return serve.store_recommendations(serve.demo_extract(stored, 100, pinned=PINNED), "recommendations_demo")
+
+
+# --- shapes
+
+
+@query
+def dense_user_index(spark: SparkSession, root: str) -> DataFrame:
+    """Users and their numbers from 0, in order of their ids."""
+    return numbering.dense_index(tables.reviews(spark, root), "user_id")
+
+
+@query
+def rating_lists_long(spark: SparkSession, root: str) -> DataFrame:
+    """Two lists of each user, of different lengths, as one row per entry: items rated above the middle, and the others."""
+    rated = train_of(spark, root).groupBy("user_id", "item_id").agg(F.avg("rating").alias("mean"))
+
+    def items_where(condition):
+        return F.sort_array(F.collect_list(F.when(condition, F.col("item_id"))))
+
+    wide = rated.groupBy("user_id").agg(
+        items_where(F.col("mean") > 3).alias("liked"), items_where(F.col("mean") <= 3).alias("others")
+    )
+    return reshape.lists_to_long(wide, ["user_id"], ["liked", "others"], "list", "place", "item_id")
+
+
+@query
+def split_sizes_long(spark: SparkSession, root: str) -> DataFrame:
+    """Numbers of train and test reviews of each user as one row each."""
+    marked = split.mark_split(tables.reviews(spark, root)).groupBy("user_id").agg(
+        F.sum((~F.col("is_test")).cast("bigint")).alias("train"), F.sum(F.col("is_test").cast("bigint")).alias("test")
+    )
+    return reshape.wide_to_long(marked, ["user_id"], ["train", "test"], "part", "n_reviews")
+
+
+@query
+def user_texts(spark: SparkSession, root: str) -> DataFrame:
+    """All cleaned train texts of each user in order of time, put together."""
+    pieces = reshape.text_pieces(review_tokens(spark, root), "user_id", "processed_text", ["review_date", "review_id"])
+    whole = reshape.whole_texts(pieces, "user_id")
+    return whole.select("user_id", "n_texts", F.char_length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:

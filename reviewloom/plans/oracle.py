@@ -7,7 +7,7 @@ import re
 from reviewloom.functions.scalar import HASH_ITEM, HASH_MIX, HASH_PRIME, HASH_USER
 from reviewloom.functions.text import CONTRACTIONS, STOP_WORDS, TOKEN_MAX, TOKEN_MIN, VERB_ENDINGS
 from reviewloom.operators.topics import COHERENCE_EPSILON, MAX_SHARE, MAX_TERMS, MIN_DOCS
-from reviewloom.plans.catalog import COLD_START, FACTOR_SCALE, LEMMAS, OTHER_USER, PINNED, USER
+from reviewloom.plans.catalog import COLD_START, FACTOR_SCALE, LEMMAS, PINNED, SHARING, USER
 
 
 def _quoted(text: str) -> str:
@@ -198,7 +198,11 @@ SELECTS = {
     "describe_reviews": " UNION ALL ".join(
         f"""SELECT '{c}' AS column_name, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_distinct,
                    CAST(arg_max({c}, (n, {c})) AS VARCHAR) AS top, max(n) AS top_freq,
-                   round(sum({c} * n) / sum(n), 6) AS avg, CAST(min({c}) AS DOUBLE) AS min,
+                   round(sum({c} * n) / sum(n), 6) AS avg,
+                   (SELECT round(stddev_samp({c}), 6) FROM reviews) AS sd, CAST(min({c}) AS DOUBLE) AS min,
+                   (SELECT round(quantile_cont({c}::DOUBLE, 0.25), 6) FROM reviews) AS q25,
+                   (SELECT round(quantile_cont({c}::DOUBLE, 0.5), 6) FROM reviews) AS q50,
+                   (SELECT round(quantile_cont({c}::DOUBLE, 0.75), 6) FROM reviews) AS q75,
                    CAST(max({c}) AS DOUBLE) AS max
             FROM (SELECT {c}, count(*) AS n FROM reviews GROUP BY 1) AS t"""
         for c in ("user_id", "item_id", "rating")
@@ -366,13 +370,27 @@ SELECTS = {
     "user_report": f"SELECT item_id, title FROM recs WHERE user_id = {USER} AND item_rank < 10 ORDER BY item_rank",
     "common_items": f"""
         SELECT item_id, title
-        FROM (SELECT item_id FROM reviews WHERE user_id = {USER}) AS a
-             JOIN (SELECT item_id FROM reviews WHERE user_id = {OTHER_USER}) AS b USING (item_id)
+        FROM (SELECT item_id FROM reviews WHERE user_id = {SHARING[0]}) AS a
+             JOIN (SELECT item_id FROM reviews WHERE user_id = {SHARING[1]}) AS b USING (item_id)
              JOIN items USING (item_id)""",
     "demo_extract": f"""
         SELECT * FROM recs WHERE user_id IN ({', '.join(map(str, PINNED))}) OR user_id IN (
             SELECT user_id FROM (SELECT DISTINCT user_id FROM recs) AS t
             ORDER BY md5('42:' || CAST(user_id AS VARCHAR)), user_id LIMIT 100)""",
+    "dense_user_index": """
+        SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS index FROM (SELECT DISTINCT user_id FROM reviews) AS t""",
+    "rating_lists_long": """
+        SELECT user_id, list, CAST(row_number() OVER (PARTITION BY user_id, list ORDER BY item_id) - 1 AS INTEGER) AS place, item_id
+        FROM (SELECT user_id, item_id, CASE WHEN avg(rating) > 3 THEN 'liked' ELSE 'others' END AS list
+              FROM train GROUP BY 1, 2) AS t""",
+    "split_sizes_long": """
+        UNPIVOT (SELECT user_id, CAST(sum(CAST(NOT is_test AS INTEGER)) AS BIGINT) AS train,
+                        CAST(sum(CAST(is_test AS INTEGER)) AS BIGINT) AS test FROM marked GROUP BY 1)
+        ON train, test INTO NAME part VALUE n_reviews""",
+    "user_texts": """
+        SELECT user_id, count(*) AS n_texts, length(string_agg(processed_text, ' ' ORDER BY review_date, review_id)) AS n_chars,
+               md5(string_agg(processed_text, ' ' ORDER BY review_date, review_id)) AS text_md5
+        FROM train JOIN processed USING (doc_id) GROUP BY 1""",
 }
 
 
