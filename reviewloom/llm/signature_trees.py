@@ -12,11 +12,15 @@ ORs. A dual traversal starts with the root against itself, drops pairs of nodes
 members, whose full sets are compared. Pairs of nodes whose members already lie in one component are dropped as well,
 so that a large group of copies takes about as many comparisons as it has members, not pairs.
 
-One tree over all texts would meet itself in one task, so there is a forest. Sets are put in one global order of tokens, frequent
-ones last. A text belongs to the tree of each of its first n - ceil(n * percent / 100) + 1 tokens; any link shares one
-of those, so no link is lost between trees. Trees with the same members are grown once, and trees whose members lie in
-one component not at all. A large tree is cut at its top: members fall into bands of sizes and, inside these, into blocks of
-bounded size; blocks of equal or neighbouring bands meet in tasks of their own, others cannot hold links.
+One tree over all texts would meet itself in one task, so there is a forest. Tokens are counted over all sets, and sets are put
+in one global order of tokens, rare ones first. A text belongs to the trees of its first n - ceil(n * percent / 100) + 1
+tokens, as any link shares one of those; if no other set has any of these, the text is linked with nothing. Sizes are
+cut into bands so that a link reaches into the next band at most, and a tree holds one token and two neighbouring bands:
+no link is lost between trees. Two texts that share many tokens are compared in one tree only, that of the first token they
+share, and only if their first tokens leave room for the similarity; a tree whose members have all met before, or lie in one
+component, is not grown. To start with, trees of only the first ``FIRST`` shared tokens of each text join most of what
+belongs together. Of trees with the same members one is grown. A tree of very many members is cut at its top into blocks,
+which meet pair by pair in tasks of their own.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from reviewloom.llm import words
 from reviewloom.llm.graph import components
 from reviewloom.llm.near_dups import digests_of
 from reviewloom.llm.scope import fields
+from reviewloom.operators.cells import MOST_PARTITIONS
 from reviewloom.session import durable
 
 WIDTH = 5  # words of a shingle, unless stated otherwise
@@ -40,11 +45,13 @@ TREE_TEXTS, TREE_TOKENS = 2_000, 1_000_000  # of a block of a large tree, on ave
 LEAF, FAN = 16, 8  # members of a leaf, children of a node
 LEAST_BITS, BITS_PER_TOKEN, TREE_BYTES = 256, 16, 4 << 20  # width of bitmaps, and what those of one level may take
 PAIR_BYTES = 8 << 20  # bitmaps compared at a time
-FIRST_RANKS = (1, 4)  # trees grown first: those of each text's first tokens; then all
-COUNTED, FREQUENT, SHARE = 65_536, 4_096, 1_000  # tokens counted in a task, kept in all; texts of a task per count kept
+FIRST = 4  # shared tokens of a text whose trees are grown first
+BUCKET_TOKENS = 4_000_000  # tokens counted together, on average
+SENT_TOKENS = 2_000_000  # tokens that a task sorts by bucket at a time
+MET_COLUMNS = 4_096  # tokens of a product of members and earlier tokens
 OWN = ("doc_id", "text")
-SET_SCHEMA = "doc_id long, n_shingles long, digest binary, prefix array<long>"
-BROADCAST_ROWS = 1_000_000  # texts to fetch, 16 bytes each, up to which the list is broadcast
+SET_SCHEMA = "doc_id long, n_shingles long, digest binary"
+BROADCAST_ROWS = 300_000  # rows of a few numbers up to which a table of them is broadcast
 ROW = ("doc_id", "text_key")
 
 
@@ -53,37 +60,9 @@ def least_overlap(n_a, n_b, percent: int):
     return -(-percent * (n_a + n_b) // (100 + percent))
 
 
-def _counted(width: int):
-    """Tokens that many texts of a task hold, by Misra-Gries: counts of which the largest are kept after each chunk."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts, texts = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), 0
-        for batch in batches:
-            for part in words.chunks(batch):
-                found, _ = words.shingles(part.column("text"), width)
-                texts += part.num_rows
-                fresh, times = np.unique(found, return_counts=True)
-                several = times > 1
-                held, place = np.unique(np.concatenate([tokens, fresh[several]]), return_inverse=True)
-                total = np.bincount(place, np.concatenate([counts, times[several]]), len(held)).astype(np.int64)
-                if len(held) > COUNTED:
-                    less = np.partition(total, len(held) - COUNTED - 1)[len(held) - COUNTED - 1]
-                    total -= less
-                    held, total = held[total > 0], total[total > 0]
-                tokens, counts = held, total
-        often = counts >= max(3, texts // SHARE)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], names=["token", "count"]
-        )
-
-    return run
-
-
-def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
-    """At most FREQUENT tokens, sorted, that many texts hold. They only decide an order; links do not depend on them."""
-    counts = docs.select("text").mapInArrow(_counted(width), "token long, count long").groupBy("token").agg(F.sum("count").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
-    return np.sort(np.array([r["token"] for r in top], dtype=np.int64).view(np.uint64))
+def first_tokens(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """How many of a set's tokens, in the global order, one of which any link shares."""
+    return np.where(sizes > 0, sizes - (-(-percent * sizes // 100)) + 1, 0)
 
 
 def _among(found: np.ndarray, listed: np.ndarray) -> np.ndarray:
@@ -92,8 +71,8 @@ def _among(found: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return listed[np.minimum(np.searchsorted(listed, found), len(listed) - 1)] == found
 
 
-def _sets(width: int, percent: int, frequent: np.ndarray):
-    """Size, digest and first tokens of each text's set; other columns come along."""
+def _sets(width: int):
+    """Size and digest of each text's set; other columns come along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,22 +85,158 @@ def _sets(width: int, percent: int, frequent: np.ndarray):
                     tight = np.append(bounds[:-1][full], bounds[-1])
                     for i, d in zip(np.flatnonzero(full), digests_of(found, tight), strict=True):
                         digests[i] = d.tobytes()
-                owner = np.repeat(np.arange(part.num_rows), sizes)
-                order = np.lexsort((found, _among(found, frequent), owner))
-                first = np.where(full, sizes - (-(-percent * sizes // 100)) + 1, 0)
-                place = np.arange(len(found)) - np.repeat(bounds[:-1], sizes)
-                prefix = found[order][place < np.repeat(first, sizes)].view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]), pa.int32()), pa.array(prefix))
                 rest = [c for c in part.schema.names if c not in OWN]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()),
-                     lists, *(part.column(c) for c in rest)],
-                    names=["doc_id", "n_shingles", "digest", "prefix", *rest],
+                     *(part.column(c) for c in rest)],
+                    names=["doc_id", "n_shingles", "digest", *rest],
                 )
 
     return run
 
 
+def _sent(width: int, buckets: int):
+    """Tokens of (node, text) by bucket: rows (bucket, nodes, sizes, counts, tokens), all but the first as bytes."""
+
+    def rows(tokens: list[np.ndarray], nodes: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        token, node, size = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
+        bucket = (token >> np.uint64(33)).astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        token, node, size, bucket = token[order], node[order], size[order], bucket[order]
+        begins = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (bucket[1:] != bucket[:-1])))
+        counts = np.diff(np.append(begins, len(token))).astype(np.int32)
+        used, first = np.unique(bucket, return_index=True)
+        ends = np.append(first[1:], len(token))
+        run_at = np.searchsorted(begins, np.append(first, len(token)))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(used),
+                *(
+                    pa.array([x[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary())
+                    for x, lo, hi in (
+                        (node[begins], run_at[:-1], run_at[1:]), (size[begins], run_at[:-1], run_at[1:]),
+                        (counts, run_at[:-1], run_at[1:]), (token, first, ends),
+                    )
+                ),
+            ],
+            names=["bucket", "nodes", "sizes", "counts", "tokens"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, nodes, sizes, held = [], [], [], 0
+        for batch in batches:
+            for part in words.chunks(batch):
+                found, bounds = words.shingles(part.column("text"), width)
+                size = np.diff(bounds)
+                tokens.append(found)
+                nodes.append(np.repeat(part.column("node").to_numpy(), size))
+                sizes.append(np.repeat(size, size).astype(np.int32))
+                held += len(found)
+                if held >= SENT_TOKENS:
+                    yield rows(tokens, nodes, sizes)
+                    tokens, nodes, sizes, held = [], [], [], 0
+        if held:
+            yield rows(tokens, nodes, sizes)
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: for each node the tokens that other nodes have, too, and how many nodes have them."""
+
+    def found(parts: list[tuple]) -> pa.RecordBatch:
+        token = np.concatenate([np.frombuffer(p[3], dtype=np.uint64) for p in parts])
+        counts = np.concatenate([np.frombuffer(p[2], dtype=np.int32) for p in parts])
+        run = np.repeat(np.arange(len(counts)), counts)
+        nodes, sizes = (np.concatenate([np.frombuffer(p[k], dtype=t) for p in parts]) for k, t in ((0, np.int64), (1, np.int32)))
+        node = nodes[run]
+        order = np.lexsort((node, token))
+        token, node, run = token[order], node[order], run[order]
+        fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))  # equal rows of a text count once
+        token, node, run = token[fresh], node[fresh], run[fresh]
+        begins = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        texts = np.diff(np.append(begins, len(token)))
+        texts = np.repeat(texts, texts).astype(np.int32)
+        several = np.flatnonzero(texts > 1)
+        order = several[np.argsort(node[several], kind="stable")]
+        token, node, run, texts = token[order], node[order], run[order], texts[order]
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.empty(0, dtype=np.int64)
+        ends = np.append(first[1:], len(node)) if len(node) else first
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(node[first]), pa.array(sizes[run[first]].astype(np.int64)),
+                pa.array([token[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
+                pa.array([texts[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
+            ],
+            names=["node", "n", "tokens", "texts"],
+        )
+
+    bucket, parts = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if row[0] != bucket:
+                if parts:
+                    yield found(parts)
+                bucket, parts = row[0], []
+            parts.append(row[1:])
+    if parts:
+        yield found(parts)
+
+
+def _prefixes(percent: int):
+    """Rows sorted by node: its shared tokens among the first of its set, rarest first, and how many come before them. A set
+    with more tokens of its own than the similarity lets it lack is linked with nothing and left out."""
+
+    def first(node: int, n: int, parts: list[tuple]) -> list[tuple]:
+        alone = n - sum(len(p[0]) for p in parts) // 8  # what no other set has comes before all others
+        room = int(first_tokens(np.array([n]), percent)[0]) - alone
+        if room <= 0:
+            return []
+        token = np.concatenate([np.frombuffer(p[0], dtype=np.uint64) for p in parts])
+        texts = np.concatenate([np.frombuffer(p[1], dtype=np.int32) for p in parts])
+        order = np.lexsort((token, texts))[:room]
+        return [(node, n, alone, token[order].view(np.int64), int(texts[order[-1]]))]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["node", "n", "alone", "prefix", "last_texts"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts = None, []
+        for batch in batches:
+            rows = []
+            for node, n, tokens, texts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (node, n) != key:
+                    if parts:
+                        rows += first(*key, parts)
+                    key, parts = (node, n), []
+                parts.append((tokens, texts))
+            yield out(rows)
+        if parts:
+            yield out(first(*key, parts))
+
+    return run
+
+
+def _firsts(classes: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """(node, n, alone, prefix, last_texts) for every set whose first tokens are not all its own.
+
+    Tokens travel once, packed by bucket; what goes on to the sets are those that several sets have.
+    """
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, math.ceil(total / BUCKET_TOKENS))
+    reps = classes.select("node", "rep.doc_id", "rep.text_key")
+    sent = texts.join(_small(reps), list(ROW)).select("node", "text")
+    sent = sent.mapInArrow(_sent(width, buckets), "bucket long, nodes binary, sizes binary, counts binary, tokens binary")
+    sent = sent.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
+    rows = sent.mapInArrow(_shared, "node long, n long, tokens binary, texts binary").repartition("node").sortWithinPartitions("node")
+    schema = "node long, n long, alone long, prefix array<long>, last_texts long"
+    return durable(rows.mapInArrow(_prefixes(percent), schema))
+
+
 def _tokens(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,103 +339,177 @@ def links_in(sets: list[np.ndarray], comps: np.ndarray, sides: np.ndarray, perce
     return found
 
 
-def _grown(percent: int, keys: int):
-    """Rows sorted by tree: the links of each tree, grown when its last member has come."""
+def _by_tree(keys: int, grow, schema: str):
+    """Rows sorted by tree, the first ``keys`` columns: what ``grow`` makes of the rows of each tree, when its last has come."""
+    fields_ = [f.split() for f in schema.split(", ")]
 
-    def links(rows: list) -> Iterator[tuple[bytes, bytes]]:
-        unique = {(r[0], r[2]): r for r in rows}  # a text that occurs in several equal rows is one member
-        rows = [unique[k] for k in sorted(unique)]
-        nodes = [r[0] for r in rows]
-        if len(rows) < 2:
-            return
-        _, comps = np.unique(np.array([r[1].hex() for r in rows]), return_inverse=True)
-        sets = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
-        for i, j in links_in(sets, comps, np.array([r[2] for r in rows]), percent):
-            yield nodes[i], nodes[j]
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([f[k] for f in found], pa.int64()) for k in range(len(fields_))], names=[name for name, _ in fields_]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, rows = None, []
-        for batch in batches:
-            out: list[tuple[bytes, bytes]] = []
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        for part in batches:
+            out: list[tuple] = []
+            columns = [part.column(i) if pa.types.is_list(part.column(i).type) else part.column(i).to_pylist() for i in range(part.num_columns)]
             for row in zip(*columns, strict=True):
                 if row[:keys] != tree:
-                    out += links(rows)
+                    out += grow(tree, rows)
                     tree, rows = row[:keys], []
                 rows.append(row[keys:])
-            yield _pairs(out)
-        yield _pairs(list(links(rows)))
+            yield batch(out)
+        yield batch(list(grow(tree, rows)))
 
     return run
 
 
-def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    sides = [pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)]
-    return pa.RecordBatch.from_arrays(sides, names=["a", "b"])
-
+def _grown(percent: int):
+    """Links (a, b) of a tree from its members (node, comp, side, tokens)."""
 
-def _planted(members: DataFrame, percent: int) -> DataFrame:
-    """(token, band, over, i, j, node, comp, side): one row per member and task of its tree.
+    def grow(tree: tuple, rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        unique = {(r[0], r[2]): r for r in rows}  # a text that occurs in several equal rows is one member
+        if len(unique) < 2:
+            return
+        rows = [unique[k] for k in sorted(unique)]
+        nodes = [r[0] for r in rows]
+        _, comps = np.unique(np.array([r[1] for r in rows]), return_inverse=True)
+        sets = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
+        for i, j in links_in(sets, comps, np.array([r[2] for r in rows]), percent):
+            yield nodes[i], nodes[j]
 
-    ``members`` (token, node, n, comp) are those of trees that hold several components.
+    return grow
+
+
+def shared_counts(lists: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two lists of distinct tokens share, as a matrix."""
+    n = len(lists)
+    owner = np.repeat(np.arange(n), [len(e) for e in lists])
+    _, column, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column, width = owner[keep], number[column[keep]], int(shared.sum())
+    out = np.zeros((n, n), dtype=np.float32)
+    for at in range(0, width, MET_COLUMNS):
+        here = (column >= at) & (column < at + MET_COLUMNS)
+        part = np.zeros((n, min(MET_COLUMNS, width - at)), dtype=np.float32)
+        part[owner[here], column[here] - at] = 1.0
+        out += part @ part.T
+    return out
+
+
+def may_link(first: list[np.ndarray], last_texts: np.ndarray, alone: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which two sets may be linked, by their sizes and first tokens (in the global order), as a matrix.
+
+    ``first`` are the shared ones of a set's first tokens, ``alone`` counts those before them that no other set has. Of two
+    lists of first tokens one ends first. All tokens up to there are known of both sets, so what this list does not
+    share with the other one is missing from the other set, which may not lack more than the sizes allow.
     """
-    trees = members.groupBy("token").agg(F.count("*").alias("texts"), F.sum("n").alias("tokens"))
-    fits = (F.col("texts") <= TREE_TEXTS) & (F.col("tokens") <= TREE_TOKENS)
-    zero = F.lit(0)
-    small = members.join(trees.where(fits).select("token"), "token").select(
-        "token", zero.alias("band"), zero.alias("over"), zero.alias("i"), zero.alias("j"), "node", "comp", zero.alias("side")
-    )
+    last = np.array([f[-1] for f in first]).view(np.uint64)
+    place = np.empty(len(first), dtype=np.int64)
+    place[np.lexsort((last, last_texts))] = np.arange(len(first))
+    length = alone + np.array([len(f) for f in first])
+    missing = length[:, None] - shared_counts(first)
+    allowed = n[:, None] - least_overlap(n[:, None], n[None, :], percent)
+    fits = missing <= allowed
+    fits = np.where(place[:, None] <= place[None, :], fits, fits.T)
+    return fits & (100 * n[:, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[:, None])
+
+
+def _new_pairs(percent: int, begun: int):
+    """Members of a tree that may be linked with another one that they meet for the first time there: from (node, comp, side, n,
+    home, place, alone, last_texts, prefix) to (tree, i, j, node, comp, side). Places below ``begun`` have been dealt with."""
+
+    def grow(tree: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        if len(rows) < 2:
+            return
+        node, comp, side, n, home, place, alone, last_texts = (np.array([r[k] for r in rows]) for k in range(8))
+        first = [r[8].values.to_numpy() for r in rows]
+        new = comp[:, None] != comp[None, :]
+        new &= home[:, None] | home[None, :]  # the other ones meet in the band below
+        new &= (place[:, None] >= begun) | (place[None, :] >= begun)  # the other ones met to start with
+        if len(np.unique(side)) > 1:
+            new &= side[:, None] != side[None, :]
+        if new.any():
+            new &= shared_counts([f[:k] for f, k in zip(first, place, strict=True)]) == 0
+        if new.any():
+            new &= may_link(first, last_texts, alone, n, percent)
+        for k in np.flatnonzero(new.any(axis=1)):
+            yield *tree, int(node[k]), int(comp[k]), int(side[k])
+
+    return grow
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _forest(firsts: DataFrame, percent: int) -> DataFrame:
+    """(tree, rank, place, node, n, home): members of all trees. ``rank`` is the token's place in the member's set, ``place``
+    that among its shared tokens; ``home`` says that the tree's upper band is the member's."""
+    each = firsts.select("node", "n", "alone", F.posexplode("prefix").alias("place", "token"))
     # a little wider than the ratio of sizes that can link, so that rounding never parts neighbours
     step = max(math.log(100 / percent) * (1 + 1e-6), 1e-6)
-    banded = members.join(trees.where(~fits).select("token"), "token").withColumn(
-        "band", F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
-    )
-    blocks = F.greatest(F.ceil(F.count("*") / TREE_TEXTS), F.ceil(F.sum("n") / TREE_TOKENS)).cast("int")
-    plan = durable(banded.groupBy("token", "band").agg(blocks.alias("blocks")))
-    above = plan.select("token", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_above"))
-    under = plan.select("token", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_under"))
-    large = (
-        banded.join(plan, ["token", "band"]).join(above, ["token", "band"], "left").join(under, ["token", "band"], "left")
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    )
+    band = F.floor(F.log(F.col("n").cast("double")) / step)
+    both = F.explode(F.array(*[
+        F.struct(F.xxhash64("token", band + k).alias("tree"), F.lit(not k).alias("home")) for k in (0, 1)
+    ])).alias("b")
+    rank = (F.col("alone") + F.col("place")).alias("rank")
+    return durable(each.select(both, rank, "place", "node", "n").select("b.tree", "rank", "place", "node", "n", "b.home"))
 
-    def each(count):
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    kept = ["token", "node", "comp"]
-    inside = large.select(*kept, "band", F.col("band").alias("over"), "own", each("blocks").alias("other")).select(
-        "token", "band", "over", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp",
-        (F.col("own") > F.col("other")).cast("int").alias("side"),
-    )
-    lower = large.where("blocks_above is not null").select(
-        "token", "band", (F.col("band") + 1).alias("over"), F.col("own").alias("i"), each("blocks_above").alias("j"), "node", "comp",
-        F.lit(0).alias("side"),
-    )
-    upper = large.where("blocks_under is not null").select(
-        "token", (F.col("band") - 1).alias("band"), F.col("band").alias("over"), each("blocks_under").alias("i"),
-        F.col("own").alias("j"), "node", "comp", F.lit(1).alias("side"),
-    )
-    return small.unionByName(inside).unionByName(lower.unionByName(upper))
-
-
-def _links(members: DataFrame, sets: DataFrame, found: DataFrame | None, percent: int) -> DataFrame:
-    """(a, b): links between components ``found`` (node, comp), from all trees of ``members`` (token, node, n)."""
-    if found is None:
-        placed = members.withColumn("comp", F.col("node"))
-    else:
-        placed = members.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = durable(placed.select("token", "node", "n", "comp"))
-    # trees with the same members are told by two sums over these
-    trees = placed.groupBy("token").agg(
-        F.count("*").alias("texts"), F.bit_xor(F.xxhash64("node")).alias("d1"),
-        F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("d2"), F.min("comp").alias("least"), F.max("comp").alias("most"),
+def _planted(members: DataFrame, percent: int) -> DataFrame:
+    """(tree, i, j, side, ...): one row per member and task, for the trees that can hold a link between components.
+
+    ``members`` are (tree, rank, place, node, n, home, comp). What lies before the first token that two sets share is missing from the
+    other one, so their ranks may not exceed together what the sizes allow to differ. A member whose rank is too large even
+    for the tree's best partner is left out.
+    """
+    # whole numbers: rank of both <= (100 - percent) / (100 + percent) * size of both
+    spare = (100 + percent) * F.col("rank") - (100 - percent) * F.col("n")
+    members = members.withColumn("spare", spare.cast("long"))
+    best = members.groupBy("tree").agg(F.min("spare").alias("best"), F.max("home").alias("home"), F.count("*").alias("texts"))
+    best = durable(best.where("best <= 0 and home and texts > 1").select("tree", "best"))
+    members = durable(members.join(_small(best), "tree").where(F.col("spare") + F.col("best") <= 0).drop("spare", "best"))
+    trees = members.groupBy("tree").agg(
+        F.count("*").alias("texts"), F.sum("n").alias("tokens"), F.sum("rank").alias("ranks"),
+        # trees with the same members are told by two sums over these
+        F.bit_xor(F.xxhash64("node")).alias("d1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("d2"),
+        F.min("comp").alias("least"), F.max("comp").alias("most"),
     ).where("texts > 1 and least != most")
-    grown = trees.groupBy("texts", "d1", "d2").agg(F.min("token").alias("token")).select("token")
-    planted = _planted(durable(placed.join(grown, "token")), percent)
-    keys = ("token", "band", "over", "i", "j")
-    rows = planted.join(sets, "node").select(*keys, "node", "comp", "side", "tokens")
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return durable(rows.mapInArrow(_grown(percent, len(keys)), "a binary, b binary"))
+    blocks = F.greatest(F.ceil(F.col("texts") / TREE_TEXTS), F.ceil(F.col("tokens") / TREE_TOKENS)).cast("int")
+    # of equal trees the one whose token comes first, as that is where its members meet
+    grown = trees.groupBy("texts", "d1", "d2").agg(F.min_by(F.struct("tree", blocks.alias("blocks")), "ranks").alias("t"))
+    grown = durable(grown.select("t.tree", "t.blocks"))
+    met = members.join(_small(grown), "tree")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return durable(
+        met.select(
+            "tree", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp",
+            (F.col("own") > F.col("other")).cast("int").alias("side"), "n", "home", "place",
+        )
+    )
+
+
+TREE = ("tree", "i", "j")
+
+
+def _in_trees(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*TREE).sortWithinPartitions(*TREE)
+
+
+def _links(planted: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """(a, b): links that join components, from trees planted with (tree, i, j, node, comp, side)."""
+    nodes = planted.select("node").distinct()
+    wanted = durable(classes.join(_small(nodes), "node").select("node", "rep.doc_id", "rep.text_key"))
+    texts = docs.join(_small(wanted), list(ROW)).select("node", "text")
+    sets = texts.mapInArrow(_tokens(width), "node long, tokens binary")
+    rows = sets.join(_small(planted), "node").select(*TREE, "node", "comp", "side", "tokens")
+    schema = "a long, b long"
+    return durable(_in_trees(rows).mapInArrow(_by_tree(len(TREE), _grown(percent), schema), schema))
 
 
 def linked(docs: DataFrame, percent: int = 80, width: int = WIDTH, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -334,31 +523,33 @@ def linked(docs: DataFrame, percent: int = 80, width: int = WIDTH, carry: tuple[
     """
     key = (F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*OWN).alias("text_key"))
     carried = docs.select(*OWN, F.xxhash64(*OWN).alias("text_key"), *carry)
+    texts = docs.select(*key, "text")
     schema = ", ".join([SET_SCHEMA, fields(carried, ("text_key", *carry))])
-    sketches = durable(carried.mapInArrow(_sets(width, percent, frequent_tokens(docs, width)), schema))
+    sketches = durable(carried.mapInArrow(_sets(width), schema))
     usable = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
+    # the number is that of the row in the written table, and so the same in all later steps
     classes = durable(
-        sketches.where(usable).groupBy(F.col("digest").alias("node"))
-        .agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+        sketches.where(usable).groupBy("digest")
+        .agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("n_shingles").alias("n"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
-    firsts = classes.select("node", "n", F.posexplode("prefix").alias("rank", "token"))
-    shared = firsts.groupBy("token").agg(F.count("*").alias("texts")).where("texts > 1").select("token")
-    members = durable(firsts.join(shared, "token"))
-    wanted = durable(
-        classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep.doc_id", "rep.text_key")
-    )
-    texts = docs.select(*key, "text")
-    rows = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, list(ROW))
-    sets = durable(rows.select("node", "text").mapInArrow(_tokens(width), "node binary, tokens binary"))
+    firsts = _firsts(classes, texts, percent, width)
+    members = _forest(firsts, percent)
     links = found = None
-    for rank in (*FIRST_RANKS, None):
-        some = members if rank is None else members.where(F.col("rank") < rank)
-        fresh = _links(some, sets, found, percent)
+    for begun, some in ((0, members.where(F.col("place") < FIRST)), (FIRST, members)):
+        placed = some.withColumn("comp", F.col("node"))
+        if found is not None:
+            placed = some.join(_small(found), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        rows = firsts.select("node", "alone", "last_texts", "prefix").join(_small(_planted(placed, percent)), "node")
+        rows = _in_trees(rows.select(*TREE, "node", "comp", "side", "n", "home", "place", "alone", "last_texts", "prefix"))
+        schema = "tree long, i long, j long, node long, comp long, side long"
+        new = durable(rows.mapInArrow(_by_tree(len(TREE), _new_pairs(percent, begun), schema), schema))
+        fresh = _links(new, classes, texts, percent, width)
         links = fresh if links is None else links.unionByName(fresh)
         found = durable(components(links))
-    grouped = classes.select("node", "rep").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = grouped.groupBy("comp").agg(F.min("rep.doc_id").alias("least"))
-    named = grouped.join(least, "comp").select(F.col("node").alias("digest"), F.col("least").alias("component_id"))
+    grouped = classes.select("digest", "node", "rep").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = grouped.groupBy("comp").agg(F.min("rep.doc_id").alias("component_id"))
+    named = grouped.join(least, "comp").select("digest", "component_id")
     slim = sketches.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"), *carry)
     out = ["doc_id", "n_shingles", "component_id", *carry]
     alone = slim.where(F.col("digest").isNull()).withColumn("component_id", F.col("doc_id"))

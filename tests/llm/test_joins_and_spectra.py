@@ -73,11 +73,12 @@ def families(rng, n):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_ngram_join(spark, monkeypatch, small):
-    if small:  # large trees, cut into bands and blocks
+    if small:  # large trees, cut into blocks
         monkeypatch.setattr(signature_trees, "TREE_TEXTS", 5)
         monkeypatch.setattr(signature_trees, "TREE_TOKENS", 300)
         monkeypatch.setattr(signature_trees, "BROADCAST_ROWS", 0)
-        monkeypatch.setattr(signature_trees, "FREQUENT", 0)
+        monkeypatch.setattr(signature_trees, "BUCKET_TOKENS", 500)
+        monkeypatch.setattr(signature_trees, "FIRST", 1)
     rows = EDGES + families(random.Random(3), 60)
     got = signature_trees.linked(docs_of(spark, rows), 90, 3, carry=("n", "token")).collect()
     assert {(r["n"], r["token"]) for r in got} == {(1, 3)}
@@ -120,6 +121,46 @@ def test_links_in_join_all_that_is_linked(sided):
                 assert root(i) == root(j)
 
 
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(signature_trees, "MET_COLUMNS", 3)
+    rng = np.random.default_rng(6)
+    lists = [rng.choice(60, rng.integers(0, 9), replace=False) for _ in range(25)] + [np.empty(0, dtype=np.int64)]
+    got = signature_trees.shared_counts(lists)
+    for i, a in enumerate(lists):
+        assert all(got[i, j] == len(set(a.tolist()) & set(b.tolist())) for j, b in enumerate(lists) if i != j)
+
+
+def test_linked_sets_are_never_ruled_out():
+    rng = np.random.default_rng(7)
+    common = rng.integers(0, 1 << 40, 30).astype(np.uint64)
+    sets = []
+    for _ in range(40):
+        base = np.concatenate([rng.integers(0, 1 << 40, rng.integers(5, 80)).astype(np.uint64), rng.choice(common, 10, replace=False)])
+        for _ in range(5):
+            gone = rng.choice(len(base), rng.integers(0, 5), replace=False)
+            sets.append(np.unique(np.concatenate([np.delete(base, gone), rng.integers(0, 1 << 40, rng.integers(0, 4)).astype(np.uint64)])))
+    texts = Counter(t for s in sets for t in s.tolist())
+    n = np.array([len(s) for s in sets])
+    counts = signature_trees.first_tokens(n, 90)
+    ordered = [sorted(s.tolist(), key=lambda t: (texts[t], t))[:k] for s, k in zip(sets, counts, strict=True)]
+    alone = np.array([sum(texts[t] == 1 for t in o) for o in ordered])
+    usable = [i for i, o in enumerate(ordered) if alone[i] < len(o)]
+    first = [np.array(ordered[i][alone[i] :], dtype=np.int64) for i in usable]
+    last = np.array([texts[ordered[i][-1]] for i in usable])
+    fits = signature_trees.may_link(first, last, alone[usable], n[usable], 90)
+    at = {i: k for k, i in enumerate(usable)}
+    linked = ruled_out = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 90 * (n[i] + n[j] - both) and texts and not np.array_equal(sets[i], sets[j]):
+                linked += 1
+                assert fits[at[i], at[j]] and fits[at[j], at[i]]
+            else:
+                ruled_out += i not in at or j not in at or not fits[at[i], at[j]]
+    assert linked > 30 and ruled_out > 15_000
+
+
 def brute_vocabulary(rows):
     counts = Counter()
     for doc_id, text in rows:
