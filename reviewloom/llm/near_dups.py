@@ -27,6 +27,7 @@ from reviewloom.llm.graph import components
 from reviewloom.llm.scope import fields
 from reviewloom.session import durable
 
+WIDTH = 5  # words of a shingle, unless stated otherwise
 BAND_ROWS, BANDS = 6, 40
 REGISTERS = BAND_ROWS * BANDS
 SCALE_BASE, RATE, TOP = 1.001, 20.0, 65_534  # b, a and q of the sketch; registers run from 0 to q + 1
@@ -76,30 +77,33 @@ def _fixed(rows: np.ndarray) -> pa.Array:
     ).cast(pa.binary())
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in words.chunks(batch):
-            found, bounds = words.shingles(part.column("text"))
-            sizes = np.diff(bounds)
-            full = np.flatnonzero(sizes)
-            empty = pa.array(sizes == 0)
-            if len(full):
-                tight = np.append(bounds[:-1][full], bounds[-1])
-                place = pa.array(np.where(sizes > 0, np.cumsum(sizes > 0) - 1, 0))
-                digest = _fixed(digests_of(found, tight)).take(place)
-                registers = _fixed(registers_of(found, tight)).take(place)
-                none = pa.scalar(None, pa.binary())
-                digest = pa.compute.if_else(empty, none, digest)
-                registers = pa.compute.if_else(empty, none, registers)
-            else:
-                digest = registers = pa.nulls(part.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id").cast(pa.int64()), pa.array(sizes.astype(np.int64)), digest, registers,
-                    *(part.column(c) for c in part.schema.names if c not in OWN),
-                ],
-                names=["doc_id", "n_shingles", "digest", "registers", *(c for c in part.schema.names if c not in OWN)],
-            )
+def _sketch(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in words.chunks(batch):
+                found, bounds = words.shingles(part.column("text"), width)
+                sizes = np.diff(bounds)
+                full = np.flatnonzero(sizes)
+                empty = pa.array(sizes == 0)
+                if len(full):
+                    tight = np.append(bounds[:-1][full], bounds[-1])
+                    place = pa.array(np.where(sizes > 0, np.cumsum(sizes > 0) - 1, 0))
+                    digest = _fixed(digests_of(found, tight)).take(place)
+                    registers = _fixed(registers_of(found, tight)).take(place)
+                    none = pa.scalar(None, pa.binary())
+                    digest = pa.compute.if_else(empty, none, digest)
+                    registers = pa.compute.if_else(empty, none, registers)
+                else:
+                    digest = registers = pa.nulls(part.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id").cast(pa.int64()), pa.array(sizes.astype(np.int64)), digest, registers,
+                        *(part.column(c) for c in part.schema.names if c not in OWN),
+                    ],
+                    names=["doc_id", "n_shingles", "digest", "registers", *(c for c in part.schema.names if c not in OWN)],
+                )
+
+    return run
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -171,14 +175,14 @@ def _plausible(percent: int):
     return keep
 
 
-def _confirm(percent: int):
+def _confirm(percent: int, width: int):
     """Rows sorted by centre, the centre's own text first: the pairs whose full sets are similar enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, centre = None, None
         for batch in batches:
             for part in words.chunks(batch):
-                found, bounds = words.shingles(part.column("text"))
+                found, bounds = words.shingles(part.column("text"), width)
                 groups = list(zip(part.column("a").to_pylist(), part.column("salt").to_pylist(), strict=True))
                 nodes, first = part.column("b").to_pylist(), part.column("is_centre").to_pylist()
                 out_a, out_b = [], []
@@ -198,7 +202,7 @@ def _confirm(percent: int):
     return check
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """The (a, b) of ``pairs`` (a, b, rep_a, rep_b) whose texts are similar enough on their full shingle sets.
 
     Texts travel to the centre ``a``; a centre with many members is met by them in several salted groups.
@@ -221,7 +225,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     )
     near = rows.join(texts, "row").select("a", "salt", "b", "is_centre", "text")
     near = near.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("is_centre"))
-    return near.mapInArrow(_confirm(percent), "a binary, b binary")
+    return near.mapInArrow(_confirm(percent, width), "a binary, b binary")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -270,12 +274,12 @@ def _across(mixed: DataFrame) -> DataFrame:
     return rest.join(mixed, "bucket").where(other & once).select("a", F.col("node").alias("b")).distinct()
 
 
-def _tile(percent: int):
+def _tile(percent: int, width: int):
     """Links between the two sides of a tile, one for each component that a node of the left side reaches."""
 
     def run(tile: pa.Table) -> pa.Table:
         tile = tile.combine_chunks().sort_by("node")
-        found, bounds = words.shingles(tile["text"].combine_chunks())
+        found, bounds = words.shingles(tile["text"].combine_chunks(), width)
         nodes, comps = tile["node"].to_pylist(), tile["comp"].to_pylist()
         size = np.diff(bounds)
         _, column = np.unique(found, return_inverse=True)
@@ -316,7 +320,7 @@ def _tile(percent: int):
     return run
 
 
-def _in_tiles(large: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _in_tiles(large: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """Links (a, b) between components among the members of large buckets (node, comp, one).
 
     Buckets that share members make a cluster. What lies outside a cluster's largest component meets the whole cluster,
@@ -358,13 +362,15 @@ def _in_tiles(large: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     ids = rows.select("row").distinct()
     texts = docs.join(F.broadcast(ids) if rows.count() <= BROADCAST_IDS else ids, "row", "left_semi")
     tiles = rows.join(texts, "row").select("cluster", "i", "j", "node", "comp", "is_rest", "text")
-    return tiles.groupBy("cluster", "i", "j").applyInArrow(_tile(percent), "a binary, b binary")
+    return tiles.groupBy("cluster", "i", "j").applyInArrow(_tile(percent, width), "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, percent: int = 80, carry: tuple[str, ...] = (), width: int = WIDTH
+) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
 
-    Two texts are linked if they share at least ``percent`` per cent of the union of their shingles.
+    Two texts are linked if they share at least ``percent`` per cent of the union of their shingles, runs of ``width`` words.
     ``component_id`` is the smallest doc_id reachable over links, and ``kept`` marks that row. Texts without words
     (null, empty, blank) have no shingles and stand alone. A row without doc_id is linked with nothing, has no
     component_id and is kept. Rows that repeat a doc_id are texts of their own; all rows whose doc_id is
@@ -373,7 +379,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, carry: tuple[str, ...] =
     row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*OWN).alias("text_key")).alias("row")
     carried = docs.select(*OWN, row, *carry)
     docs = docs.select(row, "text")
-    sketches = durable(carried.mapInArrow(_sketch, ", ".join([SKETCH_SCHEMA, fields(carried, ("row", *carry))])))
+    sketches = durable(carried.mapInArrow(_sketch(width), ", ".join([SKETCH_SCHEMA, fields(carried, ("row", *carry))])))
     usable = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
     classes = durable(
         sketches.where(usable)
@@ -391,7 +397,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, carry: tuple[str, ...] =
     # first: every member against the smallest one of its bucket
     first = members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     first = _likely(first, classes, percent)
-    links = durable(confirmed(first, docs, percent))
+    links = durable(confirmed(first, docs, percent, width))
     found = durable(components(links))
     # then, in buckets that hold several components, what lies outside the largest one against all others
     mixed = durable(_mixed(_placed(members, found)))
@@ -399,8 +405,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, carry: tuple[str, ...] =
     second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # the first pairs have the smaller node first, too
     second = _likely(second.join(first.select("a", "b"), ["a", "b"], "left_anti"), classes, percent)
-    tiled = _in_tiles(mixed.where(F.col("members") > DIRECT_MEMBERS), classes, docs, percent)
-    found = durable(components(links.unionByName(confirmed(second, docs, percent)).unionByName(tiled)))
+    tiled = _in_tiles(mixed.where(F.col("members") > DIRECT_MEMBERS), classes, docs, percent, width)
+    found = durable(components(links.unionByName(confirmed(second, docs, percent, width)).unionByName(tiled)))
     grouped = classes.select("node", "rep").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = grouped.groupBy("comp").agg(F.min("rep.doc_id").alias("least"))
     named = grouped.join(least, "comp").select(F.col("node").alias("digest"), F.col("least"))

@@ -31,6 +31,7 @@ QUERIES: dict[str, Query] = {}
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # a public tokenizer's vocabulary
 QUERY_EVERY, NEAREST = 50, 5
 SIMILAR_PERCENT = 80
+SIMILAR_WIDTH = 2
 JOIN_PERCENT, JOIN_WIDTH = 90, 3
 MIN_WORDS = 4  # words of a run of lines from which later copies are deleted
 
@@ -53,7 +54,7 @@ def op1_topk(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def op2_near_dups(spark: SparkSession, root: str) -> DataFrame:
-    return near_dups.near_duplicates(_table(spark, root, "documents"), SIMILAR_PERCENT)
+    return near_dups.near_duplicates(_table(spark, root, "documents"), SIMILAR_PERCENT, width=SIMILAR_WIDTH)
 
 
 @query
