@@ -6,7 +6,7 @@ together. Forward-backward then gives each word its language probabilities in th
 text that switches is labelled word by word; the text takes the language with the largest sum.
 
 The model is fitted on a bounded sample: from each language about ``SAMPLE_TEXTS`` texts, of each a run of
-``SAMPLE_WORDS`` words at a random place. Training sequences join runs of different languages, so that changes are seen.
+``SAMPLE_WORDS`` words at a random place, cut to ``SAMPLE_CHARS`` characters. Training sequences join runs of different languages, so that changes are seen.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from reviewloom.llm import chain, words
 from reviewloom.llm.scope import fields, fold
 
-SAMPLE_TEXTS, SAMPLE_WORDS = 1_500, 40
+SAMPLE_TEXTS, SAMPLE_WORDS, SAMPLE_CHARS = 1_500, 40, 1_000
 MOST_LANGUAGES = 256  # languages that are learned; more is an error
 BUCKETS = 1 << 16  # weights per language and kind of feature are shared by hash
 AFFIX = 4
 EPOCHS, BATCH, RATE, DECAY = 6, 256, 0.15, 1e-6
 FOLDS = 5
-LABELLED_BYTES = 2 << 20  # text labelled at a time
+LABELLED_BYTES = 256 << 10  # text labelled at a time; one longer text is labelled alone
 
 LETTER = np.zeros(256, dtype=bool)
 LETTER[ord("a") : ord("z") + 1] = LETTER[128:] = True
@@ -158,10 +158,13 @@ def train(samples: list[tuple[str, str]], seed: int = 5) -> Model:
     return Model(languages, weights.astype(np.float32), grams.astype(np.float32), trans)
 
 
-def samples_of(docs: DataFrame, texts: int = SAMPLE_TEXTS, run: int = SAMPLE_WORDS) -> list[tuple[str, str]]:
+def samples_of(
+    docs: DataFrame, texts: int = SAMPLE_TEXTS, run: int = SAMPLE_WORDS, chars: int = SAMPLE_CHARS
+) -> list[tuple[str, str]]:
     """About ``texts`` texts of each language outside the held-out fold, of each ``run`` words from a random place.
 
-    Rows are chosen by a hash of doc_id and text among all rows; only the runs reach the driver.
+    A run of more than ``chars`` characters is cut to so many, again from a random place. Rows are chosen by a hash of
+    doc_id and text among all rows; only the runs reach the driver.
     """
     learnable = docs.where((fold("doc_id", FOLDS) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     learnable = learnable.select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
@@ -179,6 +182,8 @@ def samples_of(docs: DataFrame, texts: int = SAMPLE_TEXTS, run: int = SAMPLE_WOR
         .select("lang", "doc_id", "text", listed.alias("w"))
         .select("lang", F.xxhash64("doc_id", "text").alias("h"), F.array_join(F.slice("w", start.cast("int"), run), " ").alias("run"))
     )
+    room = F.greatest(F.char_length("run") - chars + 1, F.lit(1))
+    picked = picked.withColumn("run", F.substring("run", F.pmod(F.xxhash64(F.lit(5), "h"), room).cast("int") + 1, F.lit(chars)))
     return [(r["run"], r["lang"]) for r in sorted(picked.collect(), key=lambda r: (r["h"], r["lang"], r["run"]))]
 
 
@@ -230,7 +235,7 @@ def _predict(shared, carry: tuple[str, ...]):
                         part.column("doc_id").cast(pa.int64()), part.column("held_out").cast(pa.bool_()),
                         names.take(pa.array(best)), pa.array(score), pa.array(sizes.astype(np.int64)),
                         pa.array(switches.astype(np.int64)),
-                        *(part.column(f"_carry_{c}") for c in carry),
+                        *(part.column("text" if c == "text" else f"_carry_{c}") for c in carry),
                     ],
                     names=["doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches", *carry],
                 )
@@ -251,7 +256,7 @@ def predicted(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> Dat
     rows = docs.select(
         "doc_id", F.coalesce(fold("doc_id", FOLDS) == 0, F.lit(False)).alias("held_out"), "text",
         F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"),
-        *(F.col(c).alias(f"_carry_{c}") for c in carry),
+        *(F.col(c).alias(f"_carry_{c}") for c in carry if c != "text"),  # the text goes to the tasks once
     )
     schema = ", ".join(filter(None, [SCHEMA, fields(docs, carry)]))
     return rows.mapInArrow(_predict(shared, carry), schema)

@@ -24,10 +24,10 @@ from reviewloom.llm import words
 MARK = "▁"
 UNIGRAM, BPE = 1, 2  # fixed values of the model file's format
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-REMEMBERED, WORD = 250_000, 48  # words whose ids a worker remembers, twice at most, and their greatest length
+REMEMBERED, WORD = 60_000, 48  # words whose ids a task remembers, twice at most, and their greatest length
 STRIDE = 64  # characters between looks for a common place
 MODEL_BYTES = 64 << 20  # greatest size of a model file, as it is broadcast
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 BLANK = b"\xff"  # stands for the mark among bytes, as it occurs in no UTF-8
 
 
@@ -402,6 +402,9 @@ class Codec:
         out.reverse()
         return array("i", out).tobytes()
 
+    def forget(self) -> None:
+        self.old, self.young = {}, {}
+
     def _remember(self, key: int, ids: bytes) -> None:
         if len(self.young) >= REMEMBERED:
             self.old, self.young = self.young, {}
@@ -484,7 +487,7 @@ def with_halves(model: dict) -> dict:
 
 
 def _codec(shared) -> Codec:
-    """The worker's codec for a broadcast model: it is kept beside the model, and so are the words it remembers."""
+    """The worker's codec for a broadcast model, kept beside the model; what it remembers is a task's own."""
     held = shared.value
     if "codec" not in held:
         held["codec"] = Codec(**held["model"])
@@ -508,6 +511,7 @@ def _encode(shared, check: bool):
                         for t, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
                     ]))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_ids", "ids", "restored"][: len(columns)])
+        codec.forget()
 
     return run
 
