@@ -6,6 +6,13 @@ the other, in a direction drawn so that neither expectation changes, until one o
 that the two are expected to give stay the same, so a source's words differ from its target by half of the
 one document at most that stays open to the end and is rounded. Trades run inside blocks of a source; what a block
 leaves open goes up a tree of blocks.
+
+In a trade the one with fewer words to give is settled, so a long document would stay open to the end. Documents trade from the
+longest to the shortest. One that is more than ``LONGER`` times as long as the next is settled by a draw at once, and
+the words that this adds or takes are spread over the chances of all shorter ones, in proportion to what they can give
+either way; no expectation changes by that. If they cannot make up for both outcomes, and the document is more than
+``MUCH_LONGER`` times as long as the next, the outcome that they can make up for is taken: the target goes before the
+chance of a document of such length. Else it trades on, and may be the one that is rounded.
 """
 
 from __future__ import annotations
@@ -24,6 +31,7 @@ from reviewloom.session import durable
 BLOCK_ROWS = 8_192  # documents that trade in one group, on average
 MOST_COPIES = 3.0  # of a document, and of a source's words
 WORD = r"[^\x20\x09-\x0D]+"
+LONGER, MUCH_LONGER = 2.0, 10.0  # how many times the next document's length a document has that is settled at once
 MOST_SOURCES = 1_000_000  # sources whose totals the driver holds (a name and two numbers each)
 
 FIELDS = "row long, source string, doc_id long, size long, copies long, open double"
@@ -73,10 +81,18 @@ def shares(totals: list[tuple[str | None, int, int]], weights: tuple[float, ...]
 
 
 def trade(sizes: np.ndarray, chances: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Settle chances to 0 or 1 but for one at most, keeping the sum of sizes times chances."""
+    """Settle chances to 0 or 1 but for one at most, keeping the sum of sizes times chances. Sizes fall."""
     out = chances.copy()
+    open_ = np.flatnonzero((chances > 0.0) & (chances < 1.0))
     held = -1
-    for i in range(len(out)):
+    for at, i in enumerate(open_):
+        if held >= 0 and sizes[held] > LONGER * sizes[i]:
+            # lengths halve from one such document to the next, so there are few
+            later = open_[at:]
+            settled, out[later] = _spread(float(sizes[held]), float(out[held]), sizes[later], out[later], draws[held])
+            if settled is not None:
+                out[held], held = settled, -1
+        out[i] = _whole(out[i])
         if not 0.0 < out[i] < 1.0:
             continue
         if held < 0:
@@ -90,19 +106,41 @@ def trade(sizes: np.ndarray, chances: np.ndarray, draws: np.ndarray) -> np.ndarr
             p, q = (1.0 if up == (1.0 - p) * a else p + up / a), (0.0 if up == q * b else q - up / b)
         else:
             p, q = (0.0 if down == p * a else p - down / a), (1.0 if down == (1.0 - q) * b else q + down / b)
-        p, q = (round(x) if abs(x - round(x)) < 1e-12 else x for x in (p, q))
+        p, q = _whole(p), _whole(q)
         out[held], out[i] = p, q
         open_p, open_q = 0.0 < p < 1.0, 0.0 < q < 1.0
         held = held if open_p else i if open_q else -1
     return out
 
 
+def _spread(a: float, p: float, sizes: np.ndarray, chances: np.ndarray, draw: float) -> tuple[float | None, np.ndarray]:
+    """Settle a document of size a and chance p against shorter ones: its outcome (None: not settled) and their chances."""
+    room = np.minimum(chances / (1.0 - p), (1.0 - chances) / p)
+    total = float(room @ sizes)
+    if total >= a:
+        chosen = (draw * (1 << 26)) % 1.0 < p  # the lower digits of the draw, which decide no trade
+        step = room * (a / total)
+        moved = chances - (1.0 - p) * step if chosen else chances + p * step
+        return float(chosen), np.clip(moved, 0.0, 1.0)
+    if a > MUCH_LONGER * sizes[0]:
+        give, take = float(chances @ sizes), float((1.0 - chances) @ sizes)
+        if (1.0 - p) * a <= give:
+            return 1.0, chances * (1.0 - (1.0 - p) * a / give)
+        if p * a <= take:
+            return 0.0, chances + (1.0 - chances) * (p * a / take)
+    return None, chances
+
+
+def _whole(x: float) -> float:
+    """0 or 1 if that is what rounding errors have left."""
+    return float(round(x)) if abs(x - round(x)) < 1e-12 else x
+
+
 def _settle(last: bool, carry: tuple[str, ...]):
     """Trade among the rows of a block; at the last level the one document still open is rounded."""
 
     def run(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
-        # long documents first: what stays open to the end is then a short one
         block = block.sort_by([("size", "descending"), ("order", "ascending"), ("doc_id", "ascending")])
         chances = trade(block["size"].to_numpy(), block["open"].to_numpy(), block["draw"].to_numpy())
         if last:

@@ -119,7 +119,7 @@ def test_near_duplicates(spark, monkeypatch):
             rows.append((at, " ".join(w if rng.random() > rate else rng.choice(vocab) for w in base)))
             at += 1
     rows += [(at + i, " ".join(rng.choice(vocab) for _ in range(40))) for i in range(60)]
-    got = near_dups.near_duplicates(docs_of(spark, rows)).collect()
+    got = near_dups.near_duplicates(docs_of(spark, rows), width=2).collect()
     assert key(got) == key(brute_components(rows))
     assert near_dups.near_duplicates(docs_of(spark, rows[:1]).where("false")).count() == 0
 
@@ -133,7 +133,7 @@ def test_near_duplicates_of_texts_that_share_a_doc_id(spark, monkeypatch, direct
     for k in range(4):
         base = [rng.choice(vocab) for _ in range(60)]
         rows += [(i, " ".join(w if rng.random() > 0.08 else rng.choice(vocab) for w in base)) for i in range(20)]
-    got = near_dups.near_duplicates(docs_of(spark, rows)).collect()
+    got = near_dups.near_duplicates(docs_of(spark, rows), width=2).collect()
     assert key(got) == key(brute_components(rows))
 
 
@@ -577,9 +577,37 @@ def test_mixing(spark, monkeypatch):
 
 
 def test_pivotal_keeps_expectations():
-    sizes = np.array([5, 3, 8, 2, 7])
-    chances = np.array([0.2, 0.5, 0.7, 0.9, 0.4])
+    sizes = np.array([8, 7, 5, 3, 2])
+    chances = np.array([0.7, 0.4, 0.2, 0.5, 0.9])
     rng = np.random.default_rng(14)
     runs = np.array([mixing.trade(sizes, chances, rng.random(5)) for _ in range(20_000)])
     assert (((runs > 0) & (runs < 1)).sum(axis=1) <= 1).all()
     assert np.allclose(runs @ sizes, chances @ sizes) and np.allclose(runs.mean(axis=0), chances, atol=0.02)
+
+
+def test_long_documents_are_settled_before_short_ones():
+    rng = np.random.default_rng(15)
+    sizes = np.sort(np.append(rng.integers(20, 200, 200), [9_000, 2_000]))[::-1]
+    chances = np.append([0.35, 0.6], rng.uniform(0.2, 0.8, 200))
+    runs = np.array([mixing.trade(sizes, chances, rng.random(len(sizes))) for _ in range(4_000)])
+    still = (runs > 0) & (runs < 1)
+    assert (still.sum(axis=1) <= 1).all() and not still[:, :2].any()
+    assert np.allclose(runs @ sizes, chances @ sizes) and np.allclose(runs.mean(axis=0), chances, atol=0.04)
+    # 80 documents cannot make up for a long one that is taken, so it is not; nothing makes up for a huge one
+    sizes = np.append(9_000, np.sort(rng.integers(20, 200, 80))[::-1])
+    few = mixing.trade(sizes, np.full(81, 0.3), rng.random(81))
+    assert few[0] == 0.0 and abs(few @ sizes - 0.3 * sizes.sum()) < 1e-6
+    alone = mixing.trade(np.append(10**6, sizes[1:]), np.full(81, 0.5), rng.random(81))
+    assert 0.0 < alone[0] < 1.0
+
+
+def test_mix_with_a_very_long_document(spark):
+    rng = random.Random(16)
+    rows = [(i, "w " * rng.choice([20, 200]), None, rng.choice("abc")) for i in range(600)]
+    rows += [(1_000, "w " * 9_000, None, "a"), (1_001, "w " * 9_000, None, "b")]
+    got = mixing.mixed(docs_of(spark, rows)).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 100 for s in target)
