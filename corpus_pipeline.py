@@ -41,7 +41,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-dedup: of each component of similar texts the row with the smallest doc_id stays, once."""
     keyed = docs.select(*COLUMNS, *row_keys("doc_id", "text"))
-    found = near_dups.near_duplicates(keyed, SIMILAR_PERCENT, carry=KEYS)
+    found = near_dups.near_duplicates(keyed, SIMILAR_PERCENT, carry=KEYS)  # five-word shingles
     kept = found.where("kept").select(*KEYS).distinct()
     return keyed.join(kept, list(KEYS)).dropDuplicates(list(KEYS)).select(*COLUMNS)
 
