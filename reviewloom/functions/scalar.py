@@ -52,10 +52,6 @@ def unit(a: Column) -> Column:
     return F.when(size > 0, F.transform(a, lambda x: x / size)).otherwise(a)
 
 
-def vector_add(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
-
-
 def vector_scale(a: Column, by: Column) -> Column:
     return F.transform(a, lambda x: x * by)
 

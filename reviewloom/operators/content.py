@@ -54,6 +54,19 @@ def embedded_review_lists(
     blocks: tuple[int, int] | None = None,
 ) -> DataFrame:
     """(user_id, item_rank, item_id, score). Candidates are cut before rated items are dropped."""
-    near = nearest_items(user_profiles(train, item_vectors), item_vectors, candidates, blocks)
-    new = near.join(train.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
+    seen = train.select("user_id", "item_id").distinct()
+    return profile_lists(user_profiles(train, item_vectors), item_vectors, seen, n, candidates, blocks)
+
+
+def profile_lists(
+    profiles: DataFrame,
+    item_vectors: DataFrame,
+    seen: DataFrame,
+    n: int,
+    candidates: int = CANDIDATES,
+    blocks: tuple[int, int] | None = None,
+) -> DataFrame:
+    """Lists from user profiles (user_id, vec) and the pairs (user_id, item_id) to leave out."""
+    near = nearest_items(profiles, item_vectors, candidates, blocks)
+    new = near.join(seen, ["user_id", "item_id"], "left_anti")
     return rank_items(new.drop("item_rank"), n)

@@ -25,6 +25,7 @@ from reviewloom.session import durable
 # Defaults of the model.
 FACTORS, EPOCHS, LEARNING_RATE, REGULARISATION, RANDOM_SD = 50, 10, 0.005, 0.02, 0.1
 RATINGS_PER_CELL = 1_000_000
+LEAST_BLOCKS = 4  # whatever the cluster, so that results do not depend on it
 
 
 def random_start(ids: DataFrame, key: str, factors: int = FACTORS, seed: int = 42, sd: float = RANDOM_SD) -> DataFrame:
@@ -49,12 +50,16 @@ def turns(users: np.ndarray, items: np.ndarray) -> np.ndarray:
     return out
 
 
-def descend(p, q, bias_u, bias_i, users, items, ratings, mean: float, rate: float, reg: float) -> None:
-    """One pass over the ratings in the given order, in place."""
-    turn = turns(users, items)
-    order = np.argsort(turn, kind="stable")
-    users, items, ratings = users[order], items[order], ratings[order]
-    bounds = np.flatnonzero(np.diff(turn[order])) + 1
+def _with_turns(cell: pa.Table) -> pa.Table:
+    """The ratings of one task and step with their turns, in order of these. They are the same in all epochs."""
+    cell = cell.combine_chunks().sort_by([("user_id", "ascending"), ("place", "ascending")])
+    users, items = (cell[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in ("user_id", "item_id"))
+    return cell.drop_columns(["place"]).append_column("turn", pa.array(turns(users, items))).sort_by("turn")
+
+
+def descend(p, q, bias_u, bias_i, users, items, ratings, turn, mean: float, rate: float, reg: float) -> None:
+    """One pass over the ratings, turn by turn, in place."""
+    bounds = np.flatnonzero(np.diff(turn)) + 1
     for a, b in zip([0, *bounds.tolist()], [*bounds.tolist(), len(users)]):
         u, i = users[a:b], items[a:b]
         pu, qi = p[u], q[i]
@@ -75,7 +80,7 @@ def _train_cell(mean: float, rate: float, reg: float, factors: int):
         kind = cell["kind"].to_numpy()
         users = cell.filter(pa.array(kind == 0))
         items = cell.filter(pa.array(kind == 1))
-        rated = cell.filter(pa.array(kind == 2)).sort_by([("user_id", "ascending"), ("place", "ascending")])
+        rated = cell.filter(pa.array(kind == 2)).sort_by("turn")
 
         def start(side: pa.Table):
             vecs = side["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -88,7 +93,7 @@ def _train_cell(mean: float, rate: float, reg: float, factors: int):
             i = pa.compute.index_in(rated["item_id"].combine_chunks(), items["item_id"].combine_chunks())
             descend(
                 p, q, bias_u, bias_i, u.to_numpy().astype(np.int64), i.to_numpy().astype(np.int64),
-                rated["rating"].to_numpy(), mean, rate, reg,
+                rated["rating"].to_numpy(), rated["turn"].to_numpy(), mean, rate, reg,
             )
         return pa.table(
             {
@@ -157,14 +162,13 @@ def fit(
 ) -> Factorisation:
     """Train from ``user_start`` (user_id, vec) and ``item_start`` (item_id, vec).
 
-    The result depends on ``blocks`` as it fixes the order of the updates; it does not depend on
-    partitioning. The start tables are not changed.
+    The result depends on ``blocks`` as it fixes the order of the updates; by default it follows from the number of
+    ratings. It does not depend on partitioning or on the cluster. The start tables are not changed.
     """
     head = train.agg(F.avg("rating").alias("mean"), F.count(F.lit(1)).alias("n")).first()
     mean = head["mean"]
     if blocks is None:
-        tasks = train.sparkSession.sparkContext.defaultParallelism
-        blocks = max(min(tasks, 4), math.ceil(math.sqrt(head["n"] / RATINGS_PER_CELL)))
+        blocks = max(LEAST_BLOCKS, math.ceil(math.sqrt(head["n"] / RATINGS_PER_CELL)))
     user_type, item_type = train.schema["user_id"].dataType, train.schema["item_id"].dataType
     user_block = F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int")
     item_block = F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")
@@ -185,13 +189,12 @@ def fit(
         raise ValueError("no start vectors for the users and items of train")
     factors = first["n"]
     # one folder per step, so that each step reads its own ratings only
-    ratings = durable(
-        train.select(
-            user_block.alias("cell"), F.pmod(item_block - user_block, F.lit(blocks)).alias("step"),
-            "user_id", "item_id", F.col("rating").cast("double").alias("rating"), F.col(order).alias("place"),
-        ).repartition("step", "cell"),
-        "step",
+    placed = train.select(
+        user_block.alias("cell"), F.pmod(item_block - user_block, F.lit(blocks)).alias("step"),
+        "user_id", "item_id", F.col("rating").cast("double").alias("rating"), F.col(order).alias("place"),
     )
+    kept = T.StructType([f for f in placed.schema.fields if f.name != "place"] + [T.StructField("turn", T.LongType())])
+    ratings = durable(placed.groupBy("step", "cell").applyInArrow(_with_turns, kept), "step")
     schema = T.StructType(
         [
             T.StructField("user_id", user_type),
@@ -207,11 +210,11 @@ def fit(
                 F.when(is_user, 0).otherwise(1).alias("kind"),
                 F.when(is_user, user_block).otherwise(F.pmod(item_block - F.lit(step), F.lit(blocks))).alias("cell"),
                 "user_id", "item_id", "bias", "vec",
-                null.cast("double").alias("rating"), null.cast(ratings.schema["place"].dataType).alias("place"),
+                null.cast("double").alias("rating"), null.cast("bigint").alias("turn"),
             )
             stratum = ratings.where(F.col("step") == step).select(
                 F.lit(2).alias("kind"), "cell", "user_id", "item_id",
-                null.cast("double").alias("bias"), null.cast("array<double>").alias("vec"), "rating", "place",
+                null.cast("double").alias("bias"), null.cast("array<double>").alias("vec"), "rating", "turn",
             )
             state = (
                 by_cell(held.unionByName(stratum), blocks)
@@ -225,12 +228,3 @@ def fit(
         mean,
     )
 
-
-def fit_random(train: DataFrame, factors: int = FACTORS, seed: int = 42, sd: float = RANDOM_SD, **params) -> Factorisation:
-    """Random normal start for users and items."""
-    return fit(
-        train,
-        random_start(train, "user_id", factors, seed, sd),
-        random_start(train, "item_id", factors, seed + 1, sd),
-        **params,
-    )

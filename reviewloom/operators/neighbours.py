@@ -8,11 +8,20 @@ its item's mean (rated cells only), M = sum m^2 and a = sum m e per user,
     norm(u)^2 = M + 2 a_u + sum e_u^2
 
 so that a user is two numbers and its own rated cells.
+
+With h = M / 2 + a, q = 1 / norm and p = h q a similarity is q_u (h_u q_v + p_v) + q_u q_v (sum over common items): a part
+that needs no items, and a sparse one. Users are put in order of the first part, for a user in the middle, and cut into
+blocks. Every block meets itself and the first blocks, which gives each user a k-th best similarity to beat. The largest
+h q_v + p_v of a block is a convex function of h, so its values at some places bound it between them, and a user only
+meets the blocks that can beat its k-th best. Others may hold users with common items who still do so: inverted lists
+hold, per item and block, the largest and smallest e q, and only where these can lift a user over its k-th best are that
+user's common items looked up. What is left out is below the k-th best for certain, so lists are those of all pairs.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +33,16 @@ from pyspark.sql import Window as W
 from reviewloom.functions.scalar import rounded
 from reviewloom.operators.cells import by_cell
 from reviewloom.operators.grid import best_per_row, id_ranks
+from reviewloom.operators.numbering import numbered
 from reviewloom.session import durable
 
 NEIGHBOURS = 50  # fixed value
 USER_BLOCK = 2048  # users per side of one cell: 32 MB of similarities
 PAIRS_AT_ONCE = 4_000_000
 DENSE_PAIRS = 65_536  # items with more pairs in a cell go through a matrix product
+PLACES = 16  # intervals of h between which a block's largest similarity is bounded
+FIRST_BLOCKS = 1  # blocks of the users most similar to all others, which everyone meets
+SLACK = 2e-6  # more than rounding to six digits can move a similarity
 
 
 def deviations(train: DataFrame) -> DataFrame:
@@ -103,7 +116,7 @@ def common_sums(rows_a, items_a, e_a, n_a, rows_b, items_b, e_b, n_b, n_items) -
     return out
 
 
-def _nearest_of_cell(k: int, digits: int):
+def _nearest_of_cell(k: int, digits: int, both_ways: bool = True):
     def nearest(cell: pa.Table) -> pa.Table:
         kind = cell["kind"].to_numpy()
         mirrored = cell["mirrored"][0].as_py()  # a block with itself comes once
@@ -133,7 +146,7 @@ def _nearest_of_cell(k: int, digits: int):
             np.fill_diagonal(sims, 0.0)
         rows, cols, values = best_per_row(sims, b[1], k, digits)
         users, others, scores = [a[0].take(rows)], [b[0].take(cols)], [values]
-        if not mirrored:
+        if not mirrored and both_ways:
             rows, cols, values = best_per_row(np.ascontiguousarray(sims.T), a[1], k, digits)
             users.append(b[0].take(rows))
             others.append(a[0].take(cols))
@@ -149,51 +162,181 @@ def _nearest_of_cell(k: int, digits: int):
     return nearest
 
 
-def nearest_users(cells: DataFrame, k: int = NEIGHBOURS, digits: int = 6, blocks: int | None = None) -> DataFrame:
-    """(user_id, neighbour, sim, place): the k most similar users, a user's own similarity being 0.
-
-    Users are hashed into blocks, and one task compares two blocks and keeps k per user, so no pair
-    leaves its task unless it is among the best. A pair of blocks is visited once, for both directions.
-    """
-    spark = cells.sparkSession
+def _ordered_blocks(cells: DataFrame, blocks: int | None) -> tuple[DataFrame, list[float]]:
+    """(user_id, half, norm, p, q, block, place): users in order of the similarity that needs no items; and the places of h,
+    between which ``place`` says the user's h lies."""
     terms = durable(user_terms(cells))
+    head = terms.agg(
+        F.count(F.lit(1)).alias("n"), F.avg("half").alias("half"), F.min("half").alias("low"), F.max("half").alias("high")
+    ).first()
     if blocks is None:
-        n_users = terms.count()
-        wanted = math.ceil(math.sqrt(6 * spark.sparkContext.defaultParallelism))
-        blocks = min(max(1, math.ceil(n_users / USER_BLOCK), wanted), max(1, n_users))
-    user_type, item_type = cells.schema["user_id"].dataType, cells.schema["item_id"].dataType
-    own = F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int")
-    rows = terms.select(
-        "user_id", F.lit(None).cast(item_type).alias("item_id"), F.col("half").alias("x"), F.col("norm").alias("y"),
-        F.lit(0).alias("what"),
-    ).unionByName(
-        cells.select("user_id", "item_id", F.col("e").alias("x"), F.lit(0.0).alias("y"), F.lit(1).alias("what"))
+        wanted = math.ceil(math.sqrt(6 * terms.sparkSession.sparkContext.defaultParallelism))
+        blocks = min(max(1, math.ceil(head["n"] / USER_BLOCK), wanted), max(1, head["n"]))
+    size = max(1, math.ceil(head["n"] / blocks))
+    has = F.col("norm") > 0
+    zero = F.lit(0.0)
+    scored = terms.withColumn("p", F.when(has, F.col("half") / F.col("norm")).otherwise(zero)).withColumn(
+        "q", F.when(has, 1 / F.col("norm")).otherwise(zero)
     )
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    cell = low * blocks - F.floor(low * (low - 1) / 2) + high - low  # number of the pair low <= high
-    met = (
-        rows.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select(
-            cell.cast("int").alias("cell"),
-            (F.col("own") == F.col("other")).alias("mirrored"),
-            (F.when(F.col("own") <= F.col("other"), 0).otherwise(2) + F.col("what")).alias("kind"),
-            "user_id", "item_id", "x", "y",
-        )
-    )
-    schema = T.StructType(
+    centre = F.lit(head["half"] or 0.0)
+    placed = numbered(scored.withColumn("_score", centre * F.col("q") + F.col("p")), F.desc("_score"), "user_id")
+    places = [float(h) for h in np.linspace(head["low"] or 0.0, head["high"] or 0.0, PLACES + 1)]
+    below = sum((F.col("half") >= h).cast("int") for h in places[1:-1]) + F.lit(0)
+    block = F.floor(F.col("index") / size).cast("int").alias("block")
+    return durable(placed.select("user_id", "half", "norm", "p", "q", block, below.alias("place"))), places
+
+
+def _schema(cells: DataFrame) -> T.StructType:
+    user_type = cells.schema["user_id"].dataType
+    return T.StructType(
         [
             T.StructField("user_id", user_type),
             T.StructField("neighbour", user_type),
             T.StructField("sim", T.DoubleType()),
         ]
     )
-    met = by_cell(met, blocks * (blocks + 1) // 2)
-    lists = met.groupBy("cell").applyInArrow(_nearest_of_cell(k, digits), schema)
+
+
+def _rows(placed: DataFrame, cells: DataFrame) -> DataFrame:
+    """(user_id, block, item_id, x, y, what): the two numbers of each user, and its rated cells."""
+    item_type = cells.schema["item_id"].dataType
+    return durable(
+        placed.select(
+            "user_id", "block", F.lit(None).cast(item_type).alias("item_id"), F.col("half").alias("x"), F.col("norm").alias("y"),
+            F.lit(0).alias("what"),
+        ).unionByName(
+            cells.join(placed.select("user_id", "block"), "user_id").select(
+                "user_id", "block", "item_id", F.col("e").alias("x"), F.lit(0.0).alias("y"), F.lit(1).alias("what")
+            )
+        )
+    )
+
+
+def _in_cells(met: DataFrame, n: int, k: int, digits: int, both_ways: bool) -> DataFrame:
+    schema = _schema(met.withColumnRenamed("x", "e"))
+    return by_cell(met, n).groupBy("cell").applyInArrow(_nearest_of_cell(k, digits, both_ways), schema)
+
+
+def _compared(rows: DataFrame, pairs: list[tuple[int, int]], k: int, digits: int) -> DataFrame:
+    """(user_id, neighbour, sim): the k best of every user from each of the block pairs (a <= b), for both directions."""
+    sides = [(a, cell, 0, a == b) for cell, (a, b) in enumerate(pairs)]
+    sides += [(b, cell, 2, False) for cell, (a, b) in enumerate(pairs) if a != b]
+    sides = rows.sparkSession.createDataFrame(sides, "block int, cell int, side int, mirrored boolean")
+    met = rows.join(sides, "block").select(
+        "cell", "mirrored", (F.col("side") + F.col("what")).alias("kind"), "user_id", "item_id", "x", "y"
+    )
+    return _in_cells(met, len(pairs), k, digits, True)
+
+
+def _met(rows: DataFrame, wanted: DataFrame, k: int, digits: int) -> DataFrame:
+    """(user_id, neighbour, sim): the k best that each user finds in the blocks it has to meet; ``wanted`` is (user_id, own,
+    block)."""
+    spark = rows.sparkSession
+    pairs = sorted((r["own"], r["block"]) for r in wanted.select("own", "block").distinct().collect())
+    if not pairs:
+        return spark.createDataFrame([], _schema(rows.withColumnRenamed("x", "e")))
+    numbers = spark.createDataFrame([(a, b, cell) for cell, (a, b) in enumerate(pairs)], "own int, block int, cell int")
+    columns = ["cell", F.lit(False).alias("mirrored"), "user_id", "item_id", "x", "y"]
+    asking = rows.drop("block").join(wanted, "user_id").join(F.broadcast(numbers), ["own", "block"])
+    asked = rows.join(F.broadcast(numbers), "block")
+    met = asking.select(*columns, F.col("what").alias("kind")).unionByName(asked.select(*columns, (F.col("what") + 2).alias("kind")))
+    return _in_cells(met, len(pairs), k, digits, False)
+
+
+def _best(lists: DataFrame, k: int) -> DataFrame:
     best_first = W.partitionBy("user_id").orderBy(F.desc("sim"), "neighbour")
     return lists.withColumn("place", F.row_number().over(best_first)).where(F.col("place") <= k)
 
 
+def _to_meet(most: np.ndarray, first: int):
+    """(user_id, own, block): the blocks, besides those met already, that may beat what a user (user_id, block, place, need)
+    needs. ``most`` (blocks, places) is the largest h q + p of a block between two places of h."""
+    order = np.argsort(-most, axis=0, kind="stable")
+    falling = np.take_along_axis(-most, order, axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, place, need = (batch.column(c).to_numpy() for c in ("block", "place", "need"))
+            users, blocks = [], []
+            for j in np.unique(place):
+                here = np.flatnonzero((place == j) & (own >= first))
+                reach = np.searchsorted(falling[:, j], -need[here], side="right")
+                user = np.repeat(here, reach)
+                block = order[np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach), j]
+                new = (block >= first) & (block != own[user])
+                users.append(user[new])
+                blocks.append(block[new])
+            user = np.concatenate(users) if users else np.empty(0, dtype=np.int64)
+            block = np.concatenate(blocks) if blocks else np.empty(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("user_id").take(pa.array(user)), pa.array(own[user].astype(np.int32)), pa.array(block.astype(np.int32))],
+                names=["user_id", "own", "block"],
+            )
+
+    return run
+
+
+def _lifted(users: DataFrame, cells: DataFrame, most: np.ndarray, first: int, wanted: DataFrame) -> DataFrame:
+    """(user_id, neighbour, sim) of users with common items in blocks that a user does not meet, where these may lift the
+    similarity over its k-th best."""
+    spark = cells.sparkSession
+    rated = durable(
+        cells.select("user_id", "item_id", "e").join(users.select("user_id", "p", "q", "block", "place", "need"), "user_id")
+    )
+    lists = rated.groupBy("item_id", "block").agg(F.max(F.col("e") * F.col("q")).alias("top"), F.min(F.col("e") * F.col("q")).alias("low"))
+    ranges = spark.createDataFrame([(b, row.tolist()) for b, row in enumerate(most)], "block int, most array<double>")
+    gain = F.greatest(F.col("e") * F.col("top"), F.col("e") * F.col("low"), F.lit(0.0))
+    offers = (
+        rated.where(F.col("block") >= first).withColumnRenamed("block", "own")
+        .join(lists.where(F.col("block") >= first), "item_id").where("own != block")
+        .groupBy("user_id", "block").agg(F.sum(gain).alias("gain"), F.first("place").alias("place"), F.first("need").alias("need"))
+    )
+    asked = durable(
+        offers.where("gain > 0").join(F.broadcast(ranges), "block")
+        .where(F.get("most", F.col("place")) + F.col("gain") >= F.col("need"))
+        .select("user_id", "block").join(wanted.select("user_id", "block"), ["user_id", "block"], "left_anti")
+    )
+    other = rated.select(
+        F.col("user_id").alias("neighbour"), "item_id", F.col("e").alias("e_v"), F.col("p").alias("p_v"), F.col("q").alias("q_v"), "block"
+    )
+    own = rated.select("user_id", "item_id", "e", "p", "q").join(asked, "user_id")
+    sums = own.join(other, ["item_id", "block"]).groupBy("user_id", "neighbour").agg(
+        F.sum(F.col("e") * F.col("e_v")).alias("s"),
+        *[F.first(c).alias(c) for c in ("p", "q", "p_v", "q_v")],
+    )
+    sim = F.col("p") * F.col("q_v") + F.col("q") * F.col("p_v") + F.col("q") * F.col("q_v") * F.col("s")
+    return sums.select("user_id", "neighbour", rounded(sim).alias("sim"))
+
+
+def nearest_users(cells: DataFrame, k: int = NEIGHBOURS, digits: int = 6, blocks: int | None = None) -> DataFrame:
+    """(user_id, neighbour, sim, place): the k most similar users, a user's own similarity being 0.
+
+    Blocks of users meet in tasks of their own, and a task keeps k per user, so that few pairs leave it. A user does not meet
+    blocks that cannot hold one of its k best.
+    """
+    placed, places = _ordered_blocks(cells, blocks)
+    rows = _rows(placed, cells)
+    n = (placed.agg(F.max("block")).first()[0] or 0) + 1
+    first = min(FIRST_BLOCKS, n)
+    pairs = sorted({(min(a, b), max(a, b)) for a in range(n) for b in (*range(first), a)})
+    lists = durable(_compared(rows, pairs, k, digits))
+    if len(pairs) == n * (n + 1) // 2:
+        return _best(lists, k)
+    kth = _best(lists, k).where(F.col("place") == k).select("user_id", F.col("sim").alias("kth"))
+    # without a k-th best, or without a length, a user needs everyone
+    need = F.when(F.col("kth").isNotNull() & (F.col("q") > 0), (F.col("kth") - SLACK) / F.col("q")).otherwise(F.lit(-math.inf))
+    users = durable(placed.join(kth, "user_id", "left").withColumn("need", need))
+    at = [F.max(F.lit(h) * F.col("q") + F.col("p")).alias(f"most_{j}") for j, h in enumerate(places)]
+    ranges = placed.groupBy("block").agg(*at).orderBy("block").collect()  # a few numbers per block of users
+    at_places = np.array([[r[f"most_{j}"] for j in range(PLACES + 1)] for r in ranges])
+    most = np.maximum(at_places[:, :-1], at_places[:, 1:])
+    schema = T.StructType([placed.schema["user_id"], T.StructField("own", T.IntegerType()), T.StructField("block", T.IntegerType())])
+    wanted = durable(users.select("user_id", "block", "place", "need").mapInArrow(_to_meet(most, first), schema))
+    lists = lists.unionByName(durable(_met(rows, wanted, k, digits)))
+    lists = lists.unionByName(_lifted(users, cells, most, first, wanted))
+    return _best(lists, k)
+
+
 def predictions(cells: DataFrame, neighbours: DataFrame) -> DataFrame:
     """(user_id, item_id, n_seen, score) for every item of the neighbours that the user has not rated.
 
@@ -237,10 +380,19 @@ def predictions(cells: DataFrame, neighbours: DataFrame) -> DataFrame:
     )
 
 
+def fit(train: DataFrame, k: int = NEIGHBOURS, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rated cells and the k nearest users of everyone."""
+    cells = durable(deviations(train))
+    return cells, nearest_users(cells, k, blocks=blocks)
+
+
 def user_based_lists(train: DataFrame, n: int, k: int = NEIGHBOURS, blocks: int | None = None) -> DataFrame:
     """(user_id, item_rank, item_id, score): items seen most often among the neighbours come first."""
-    cells = durable(deviations(train))
-    scored = predictions(cells, nearest_users(cells, k, blocks=blocks))
+    return lists_of(*fit(train, k, blocks), n)
+
+
+def lists_of(cells: DataFrame, near: DataFrame, n: int) -> DataFrame:
+    scored = predictions(cells, near)
     best_first = W.partitionBy("user_id").orderBy(F.desc("n_seen"), F.desc_nulls_last("score"), "item_id")
     return (
         scored.withColumn("_place", F.row_number().over(best_first))

@@ -1,37 +1,50 @@
-"""Run a recommender by name; turn its lists into the recommendations table."""
+"""Train a recommender by name, keep it, and recommend with it; turn its lists into the recommendations table."""
 
 from __future__ import annotations
 
-from typing import Protocol
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.operators import baseline, content, factorise, neighbours
+from reviewloom.operators import als, baseline, content, factorise, neighbours
+from reviewloom.sources import models
 
 # Names of the recommenders and training parameters of the published runs.
 RANDOM, UB_CF, FUNK_SVD = "RANDOM", "UB-CF", "FUNK-SVD"
 TI_MF, MOD_ECF, ER_CBF = "TI-MF", "MOD-ECF", "ER-CBF"
-ALGORITHMS = (RANDOM, UB_CF, FUNK_SVD, TI_MF, MOD_ECF, ER_CBF)
+ALS = "ALS"  # FUNK-SVD's model, solved by alternating least squares
+ALGORITHMS = (RANDOM, UB_CF, FUNK_SVD, TI_MF, MOD_ECF, ER_CBF, ALS)
 RUN_EPOCHS, RUN_RATE, RUN_REG = 5, 0.005, 0.1
 
 
-class Recommender(Protocol):
-    """What every algorithm offers: unseen items per user as (user_id, item_rank, item_id, score)."""
+@dataclass
+class Recommender:
+    """A trained algorithm: its tables and numbers, which are all that recommending needs."""
 
-    def __call__(self, train: DataFrame, n: int, **params) -> DataFrame: ...
+    algorithm: str
+    tables: dict[str, DataFrame]
+    params: dict = field(default_factory=dict)
 
+    def recommend(self, n: int, **settings) -> DataFrame:
+        """Lists of unseen items: (user_id, item_rank, item_id, score), ranks from 0."""
+        t, p = self.tables, self.params
+        if self.algorithm == RANDOM:
+            return baseline.drawn_lists(t["seen"], p["mean"], p["sd"], n, p["seed"], **settings)
+        if self.algorithm == UB_CF:
+            return neighbours.lists_of(t["cells"], t["neighbours"], n)
+        if self.algorithm == ER_CBF:
+            return content.profile_lists(t["profiles"], t["items"], t["seen"], n, **{"candidates": p["candidates"], **settings})
+        return factorise.score_lists(t["users"], t["items"], p["mean"], n, t["seen"], **settings)
 
-def _factorised(train: DataFrame, n: int, user_start: DataFrame, item_start: DataFrame, **params) -> DataFrame:
-    blocks = params.pop("grid", None)
-    settings = {"epochs": RUN_EPOCHS, "rate": RUN_RATE, "reg": RUN_REG, **params}
-    return factorise.fit(train, user_start, item_start, **settings).recommend(n, train, blocks)
+    def save(self, spark: SparkSession, path: str) -> int:
+        """Store as the next version under ``path``."""
+        return models.save(spark, path, self.tables, {"algorithm": self.algorithm, **self.params})
 
-
-def _funk(train: DataFrame, n: int, factors: int = factorise.FACTORS, seed: int = 42, **params) -> DataFrame:
-    user_start = factorise.random_start(train, "user_id", factors, seed)
-    item_start = factorise.random_start(train, "item_id", factors, seed + 1)
-    return _factorised(train, n, user_start, item_start, **params)
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> Recommender:
+        tables, params = models.load(spark, path, version)
+        return cls(params.pop("algorithm"), tables, params)
 
 
 def _needs(vectors: dict, *names: str) -> list[DataFrame]:
@@ -41,32 +54,56 @@ def _needs(vectors: dict, *names: str) -> list[DataFrame]:
     return [vectors[name] for name in names]
 
 
-def recommend(
+def fit(
     algorithm: str,
     train: DataFrame,
-    n: int,
     *,
     user_vectors: DataFrame | None = None,
     item_vectors: DataFrame | None = None,
     **params,
-) -> DataFrame:
-    """Lists of one algorithm: (user_id, item_rank, item_id, score), ranks from 0.
-
-    TI-MF takes topic vectors, MOD-ECF and ER-CBF take review vectors, keyed by user_id and item_id.
-    """
+) -> Recommender:
+    """Train one algorithm. TI-MF takes topic vectors, MOD-ECF and ER-CBF take review vectors, keyed by user_id and item_id."""
     name = algorithm.upper()
     given = {"user_vectors": user_vectors, "item_vectors": item_vectors}
+    seen = train.select("user_id", "item_id").distinct()
     if name == RANDOM:
-        return baseline.random_lists(train, n, **params)
+        moments = baseline.rating_moments(train).first()
+        return Recommender(name, {"seen": seen}, {"mean": moments["mean"], "sd": moments["sd"], "seed": 42, **params})
     if name == UB_CF:
-        return neighbours.user_based_lists(train, n, **params)
-    if name == FUNK_SVD:
-        return _funk(train, n, **params)
-    if name in (TI_MF, MOD_ECF):
-        return _factorised(train, n, *_needs(given, "user_vectors", "item_vectors"), **params)
+        cells, near = neighbours.fit(train, **params)
+        return Recommender(name, {"cells": cells, "neighbours": near})
     if name == ER_CBF:
-        return content.embedded_review_lists(train, *_needs(given, "item_vectors"), n, **params)
-    raise ValueError(f"unknown algorithm {algorithm!r}; known are {', '.join(ALGORITHMS)}")
+        (items,) = _needs(given, "item_vectors")
+        tables = {"profiles": content.user_profiles(train, items), "items": items, "seen": seen}
+        return Recommender(name, tables, {"candidates": content.CANDIDATES, **params})
+    if name == ALS:
+        model = als.fit(train, **params)
+    elif name in (FUNK_SVD, TI_MF, MOD_ECF):
+        settings = {"epochs": RUN_EPOCHS, "rate": RUN_RATE, "reg": RUN_REG, **params}
+        if name == FUNK_SVD:
+            factors, seed = settings.pop("factors", factorise.FACTORS), settings.pop("seed", 42)
+            starts = [factorise.random_start(train, key, factors, seed + i) for i, key in enumerate(("user_id", "item_id"))]
+        else:
+            starts = _needs(given, "user_vectors", "item_vectors")
+        model = factorise.fit(train, *starts, **settings)
+    else:
+        raise ValueError(f"unknown algorithm {algorithm!r}; known are {', '.join(ALGORITHMS)}")
+    return Recommender(name, {"users": model.users, "items": model.items, "seen": seen}, {"mean": model.mean})
+
+
+def recommend(
+    algorithm: str,
+    train: DataFrame,
+    n: int,
+    *,
+    user_vectors: DataFrame | None = None,
+    item_vectors: DataFrame | None = None,
+    grid: tuple[int, int] | None = None,
+    **params,
+) -> DataFrame:
+    """Lists of one algorithm, trained on the way: (user_id, item_rank, item_id, score), ranks from 0."""
+    trained = fit(algorithm, train, user_vectors=user_vectors, item_vectors=item_vectors, **params)
+    return trained.recommend(n, **({"blocks": grid} if grid else {}))
 
 
 def one_title(train: DataFrame, order: str = "review_id") -> DataFrame:

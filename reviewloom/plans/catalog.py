@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from reviewloom.functions.scalar import rounded, vector_scale
 from reviewloom.functions.text import final_tokens, normalise, preprocess_reviews, words
 from reviewloom.operators import (
+    accounting,
     baseline,
     clean,
     content,
     evaluate,
     explore,
     factorise,
+    index,
     neighbours,
     numbering,
     paragraph,
@@ -40,8 +42,8 @@ LEMMAS = (
     ("was", "be"), ("worthless", "worth"),
 )
 FACTOR_SCALE = 0.2
-TOPIC_SWEEP = (5, 10, 15)
-VECTOR_EPOCHS = 2  # of the named queries that learn review vectors; the operator's default is 10
+TOPIC_SWEEP = tuple(range(5, 50, 5))
+VECTOR_EPOCHS = 2  # of the named queries that learn review vectors; the operator's default is 10, figures of both in the README
 
 
 def query(fn: Query) -> Query:
@@ -606,6 +608,58 @@ def user_texts(spark: SparkSession, root: str) -> DataFrame:
     return whole.select("user_id", "n_texts", F.char_length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+@query
+def prepare_counts(spark: SparkSession, root: str) -> DataFrame:
+    """How many rows the merge and the split saw, dropped by each rule and kept, counted while these are written."""
+    ledger = accounting.Ledger()
+    reviews, items = tables.review_texts(spark, root), tables.items(spark, root)
+    required = [*items.columns, *(c for c in reviews.columns if c not in items.columns)]
+    kept = durable(accounting.prepare(reviews, items, required, ledger))
+    for part in accounting.split(kept.select("review_id", "user_id", "item_id", "review_date"), ledger):
+        durable(part)
+    return ledger.table(spark)
+
+
+# --- solved factors and the vector index
+
+
+@query
+def mf_als_top10(spark: SparkSession, root: str) -> DataFrame:
+    """FUNK-SVD's model by alternating least squares."""
+    return recommend.recommend("ALS", durable(train_of(spark, root)), 10)
+
+
+@query
+def mf_errors(spark: SparkSession, root: str) -> DataFrame:
+    """Error on train and test pairs of the factors found by gradient descent and by least squares."""
+    train, test = (durable(part) for part in split.split_train_test(tables.reviews(spark, root)))
+    out = None
+    for name in ("FUNK-SVD", "ALS"):
+        model = recommend.fit(name, train)
+        users, items = durable(model.tables["users"]), durable(model.tables["items"])
+        for part, rows in (("train", train), ("test", test)):
+            pairs = rows.select("review_id", "user_id", "item_id", "rating")
+            scored = factorise.estimate_pairs(users, items, model.params["mean"], pairs.select("user_id", "item_id").distinct())
+            error = pairs.join(scored, ["user_id", "item_id"]).agg(F.sqrt(F.avg((F.col("rating") - F.col("score")) ** 2)).alias("rmse"))
+            row = error.select(F.lit(name).alias("algorithm"), F.lit(part).alias("part"), rounded(F.col("rmse")).alias("rmse"))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query
+def knn_items_approx(spark: SparkSession, root: str) -> DataFrame:
+    """The nearest items of every user's mean vector, from an index of all item vectors."""
+    vectors = tables.item_vectors(spark, root)
+    profiles = durable(content.user_profiles(train_of(spark, root), vectors))
+    return index.build(vectors, profiles).nearest(profiles)
+
+
+@query
+def lda_tfidf_top_terms(spark: SparkSession, root: str) -> DataFrame:
+    """Top terms of the topic model that is trained on tf-idf weights."""
+    return topics.train_topics(processed_texts(spark, root), weights=topics.TFIDF).top_terms(spark)
+
+
 def flagship(spark: SparkSession, root: str) -> DataFrame:
     """Content-filter lists over review vectors, ten items per user."""
     return ercbf_top10(spark, root)

@@ -177,6 +177,8 @@ def _sizes(col: str) -> str:
     )
 
 
+_PREPARED = ("item_id", "title", "brand", "category", "review_id", "user_id", "rating", "review_date", "doc_id", "review_text", "lang")
+
 SELECTS = {
     "reviews_view": "SELECT * FROM reviews",
     "clean_merge": """
@@ -391,6 +393,25 @@ SELECTS = {
         SELECT user_id, count(*) AS n_texts, length(string_agg(processed_text, ' ' ORDER BY review_date, review_id)) AS n_chars,
                md5(string_agg(processed_text, ' ' ORDER BY review_date, review_id)) AS text_md5
         FROM train JOIN processed USING (doc_id) GROUP BY 1""",
+    "prepare_counts": f"""
+        WITH joined AS (
+            SELECT review_id, user_id, item_id, rating, review_date, doc_id, nullif(title, '') AS title, nullif(brand, '') AS brand,
+                   nullif(category, '') AS category, nullif(text, '') AS review_text, nullif(lang, '') AS lang
+            FROM reviews JOIN items USING (item_id) JOIN documents USING (doc_id)
+            WHERE title IS NULL OR NOT contains(title, 'getTime')),
+        kept AS (SELECT * FROM joined WHERE {" AND ".join(f"{c} IS NOT NULL" for c in _PREPARED)}),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY review_date, review_id) >
+                      floor(count(*) OVER (PARTITION BY user_id) * CAST(0.7 AS DOUBLE)) AS is_test
+            FROM kept)
+        SELECT 'items' AS step, 'rows' AS measure, count(*) AS n FROM items
+        UNION ALL SELECT 'items', 'broken_title', count(*) FILTER (contains(title, 'getTime')) FROM items
+        UNION ALL SELECT 'joined', 'rows', count(*) FROM joined
+        {" ".join(f"UNION ALL SELECT 'joined', 'no_{c}', count(*) FILTER ({c} IS NULL) FROM joined" for c in _PREPARED)}
+        UNION ALL SELECT 'kept', 'rows', count(*) FROM kept
+        UNION ALL SELECT 'train', 'rows', count(*) FROM placed WHERE NOT is_test
+        UNION ALL SELECT 'test', 'rows', count(*) FROM placed WHERE is_test
+            AND user_id IN (SELECT user_id FROM placed WHERE NOT is_test) AND item_id IN (SELECT item_id FROM placed WHERE NOT is_test)""",
 }
 
 

@@ -47,14 +47,12 @@ def _as_text(value: object) -> str:
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Rows and rejected lines of a line-JSON dump, with double or single quotes or Python literals."""
-    raw = (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", REJECT)
-        .option("allowSingleQuotes", True)
-        .option("allowBackslashEscapingAnyCharacter", True)
-        .json(path)
-    )
+    options = {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECT, "allowSingleQuotes": "true",
+        "allowBackslashEscapingAnyCharacter": "true",
+    }
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    raw = lines.select(F.from_json("value", schema, options).alias("r")).select("r.*")
     good = raw.where(F.col(REJECT).isNull())
     second = raw.where(F.col(REJECT).isNotNull()).mapInPandas(_literal_lines(schema), schema)
     rows = good.unionByName(second.where(F.col(REJECT).isNull())).drop(REJECT)
