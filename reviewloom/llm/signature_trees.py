@@ -95,32 +95,61 @@ def _sets(width: int):
     return run
 
 
+def _packed(names: list[str], group: np.ndarray, node: np.ndarray, size: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """One row per group: its nodes, their sizes, how many entries each has, and the entries, all as bytes. Rows come sorted by group
+    and node."""
+    if not len(group):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), *[pa.array([], pa.binary())] * (len(names) - 1)], names=names)
+    begins = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (group[1:] != group[:-1])))
+    counts = np.diff(np.append(begins, len(group))).astype(np.int32)
+    used, first = np.unique(group, return_index=True)
+    bounds = np.append(first, len(group))
+    runs = np.searchsorted(begins, bounds)
+    values = [(node[begins], runs), (size[begins], runs), (counts, runs), *((c, bounds) for c in columns)]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(used.astype(np.int64)),
+            *(pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()) for x, at in values),
+        ],
+        names=names,
+    )
+
+
+def _unpacked(parts: list[tuple], *kinds: type) -> list[np.ndarray]:
+    """Node, size and entries of all rows of a group, one value per entry."""
+    def joined(k, kind):
+        return np.concatenate([np.frombuffer(p[k], dtype=kind) for p in parts])
+
+    counts = joined(2, np.int32)
+    return [np.repeat(joined(0, np.int64), counts), np.repeat(joined(1, np.int32), counts), *(joined(3 + k, kind) for k, kind in enumerate(kinds))]
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows sorted by their first column, without it, as one list per value."""
+    group, parts = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+            if row[0] != group:
+                if parts:
+                    yield parts
+                group, parts = row[0], []
+            parts.append(row[1:])
+    if parts:
+        yield parts
+
+
+SENT = ["bucket", "nodes", "sizes", "counts", "tokens"]
+SHARED = ["target", "nodes", "sizes", "counts", "tokens", "texts"]
+
+
 def _sent(width: int, buckets: int):
-    """Tokens of (node, text) by bucket: rows (bucket, nodes, sizes, counts, tokens), all but the first as bytes."""
+    """Tokens of (node, text) by bucket."""
 
     def rows(tokens: list[np.ndarray], nodes: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
         token, node, size = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
         bucket = (token >> np.uint64(33)).astype(np.int64) % buckets
         order = np.argsort(bucket, kind="stable")
-        token, node, size, bucket = token[order], node[order], size[order], bucket[order]
-        begins = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (bucket[1:] != bucket[:-1])))
-        counts = np.diff(np.append(begins, len(token))).astype(np.int32)
-        used, first = np.unique(bucket, return_index=True)
-        ends = np.append(first[1:], len(token))
-        run_at = np.searchsorted(begins, np.append(first, len(token)))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(used),
-                *(
-                    pa.array([x[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary())
-                    for x, lo, hi in (
-                        (node[begins], run_at[:-1], run_at[1:]), (size[begins], run_at[:-1], run_at[1:]),
-                        (counts, run_at[:-1], run_at[1:]), (token, first, ends),
-                    )
-                ),
-            ],
-            names=["bucket", "nodes", "sizes", "counts", "tokens"],
-        )
+        return _packed(SENT, bucket[order], node[order], size[order], token[order])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, nodes, sizes, held = [], [], [], 0
@@ -141,82 +170,51 @@ def _sent(width: int, buckets: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: for each node the tokens that other nodes have, too, and how many nodes have them."""
-
-    def found(parts: list[tuple]) -> pa.RecordBatch:
-        token = np.concatenate([np.frombuffer(p[3], dtype=np.uint64) for p in parts])
-        counts = np.concatenate([np.frombuffer(p[2], dtype=np.int32) for p in parts])
-        run = np.repeat(np.arange(len(counts)), counts)
-        nodes, sizes = (np.concatenate([np.frombuffer(p[k], dtype=t) for p in parts]) for k, t in ((0, np.int64), (1, np.int32)))
-        node = nodes[run]
-        order = np.lexsort((node, token))
-        token, node, run = token[order], node[order], run[order]
-        fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))  # equal rows of a text count once
-        token, node, run = token[fresh], node[fresh], run[fresh]
-        begins = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        texts = np.diff(np.append(begins, len(token)))
-        texts = np.repeat(texts, texts).astype(np.int32)
-        several = np.flatnonzero(texts > 1)
-        order = several[np.argsort(node[several], kind="stable")]
-        token, node, run, texts = token[order], node[order], run[order], texts[order]
-        first = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.empty(0, dtype=np.int64)
-        ends = np.append(first[1:], len(node)) if len(node) else first
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(node[first]), pa.array(sizes[run[first]].astype(np.int64)),
-                pa.array([token[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
-                pa.array([texts[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
-            ],
-            names=["node", "n", "tokens", "texts"],
-        )
+def _shared(targets: int):
+    """Rows sorted by bucket: the tokens that several nodes have, and how many have them, by a hash of the node."""
 
-    bucket, parts = None, []
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if row[0] != bucket:
-                if parts:
-                    yield found(parts)
-                bucket, parts = row[0], []
-            parts.append(row[1:])
-    if parts:
-        yield found(parts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _by_group(batches):
+            node, size, token = _unpacked(parts, np.uint64)
+            order = np.lexsort((node, token))
+            token, node, size = token[order], node[order], size[order]
+            fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))  # equal rows of a text count once
+            token, node, size = token[fresh], node[fresh], size[fresh]
+            begins = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            texts = np.diff(np.append(begins, len(token)))
+            texts = np.repeat(texts, texts).astype(np.int32)
+            several = np.flatnonzero(texts > 1)
+            target = (words.mix(node.astype(np.uint64)) % np.uint64(targets)).astype(np.int64)
+            order = several[np.lexsort((node[several], target[several]))]
+            yield _packed(SHARED, target[order], node[order], size[order], token[order], texts[order])
+
+    return run
 
 
 def _prefixes(percent: int):
-    """Rows sorted by node: its shared tokens among the first of its set, rarest first, and how many come before them. A set
-    with more tokens of its own than the similarity lets it lack is linked with nothing and left out."""
-
-    def first(node: int, n: int, parts: list[tuple]) -> list[tuple]:
-        alone = n - sum(len(p[0]) for p in parts) // 8  # what no other set has comes before all others
-        room = int(first_tokens(np.array([n]), percent)[0]) - alone
-        if room <= 0:
-            return []
-        token = np.concatenate([np.frombuffer(p[0], dtype=np.uint64) for p in parts])
-        texts = np.concatenate([np.frombuffer(p[1], dtype=np.int32) for p in parts])
-        order = np.lexsort((token, texts))[:room]
-        return [(node, n, alone, token[order].view(np.int64), int(texts[order[-1]]))]
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["node", "n", "alone", "prefix", "last_texts"]
-        )
+    """Rows sorted by target: each node's shared tokens among the first of its set, rarest first, and how many come before
+    them. A set with more tokens of its own than the similarity lets it lack is linked with nothing and left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts = None, []
-        for batch in batches:
-            rows = []
-            for node, n, tokens, texts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if (node, n) != key:
-                    if parts:
-                        rows += first(*key, parts)
-                    key, parts = (node, n), []
-                parts.append((tokens, texts))
-            yield out(rows)
-        if parts:
-            yield out(first(*key, parts))
+        for parts in _by_group(batches):
+            node, size, token, texts = _unpacked(parts, np.uint64, np.int32)
+            order = np.lexsort((token, texts, node))
+            node, size, token, texts = node[order], size[order].astype(np.int64), token[order], texts[order]
+            begins = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            counts = np.diff(np.append(begins, len(node)))
+            alone = size[begins] - counts  # what no other set has comes before all others
+            room = np.clip(first_tokens(size[begins], percent) - alone, 0, counts)
+            kept = np.arange(len(node)) - np.repeat(begins, counts) < np.repeat(room, counts)
+            used = room > 0
+            offsets = np.concatenate([[0], np.cumsum(room[used])])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(token[kept].view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(node[begins][used]), pa.array(size[begins][used]), pa.array(alone[used]), lists,
+                    pa.array(texts[(begins + room - 1)[used]].astype(np.int64)),
+                ],
+                names=["node", "n", "alone", "prefix", "last_texts"],
+            )
 
     return run
 
@@ -231,8 +229,10 @@ def _firsts(classes: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     reps = classes.select("node", "rep.doc_id", "rep.text_key")
     sent = texts.join(_small(reps), list(ROW)).select("node", "text")
     sent = sent.mapInArrow(_sent(width, buckets), "bucket long, nodes binary, sizes binary, counts binary, tokens binary")
-    sent = sent.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
-    rows = sent.mapInArrow(_shared, "node long, n long, tokens binary, texts binary").repartition("node").sortWithinPartitions("node")
+    parts = min(buckets, MOST_PARTITIONS)
+    sent = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    rows = sent.mapInArrow(_shared(buckets), "target long, nodes binary, sizes binary, counts binary, tokens binary, texts binary")
+    rows = rows.repartition(parts, "target").sortWithinPartitions("target")
     schema = "node long, n long, alone long, prefix array<long>, last_texts long"
     return durable(rows.mapInArrow(_prefixes(percent), schema))
 
