@@ -1,14 +1,16 @@
 """Repeated runs of lines across documents, by ranks of a suffix array. Column expressions only.
 
-The non-blank lines of a document are a sequence of line ids. Prefix doubling ranks the suffixes of all
-sequences by their first 1, 2, 4, ... lines: the rank of 2k lines comes from the ranks of the first and the next
-k lines, and keeps their order. Ranks are given by a distributed sort of the distinct pairs. Two suffixes share
-their first n lines (they lie in one interval whose longest common prefix has n lines or more) exactly if they
-agree on the rank of 2**k lines, 2**k <= n < 2**(k+1), at their start and n - 2**k lines further.
-
-A run counts if it has ``min_words`` words. It suffices to look at the shortest counting runs that start at a line
-and those that end at a line: together they cover every longer repeated run, line by line. So doubling
-stops at the longest of them, and what is found is still the union of all maximal repeated runs.
+The non-blank lines of a document are a sequence of line ids; all sequences are laid out one after the other, with a gap
+between documents, so that a line is one number, its place. Prefix doubling ranks the suffixes by their first 1, 2, 4, ...
+lines: the rank of 2n lines comes from the ranks of the first and the next n lines, and keeps their order. Ranks are given by
+a distributed sort of the distinct pairs, to prefixes that occur twice at least; doubling ends when none of them does, so it
+covers the longest repeated run.
+
+Suffixes that share their first n lines are an interval of the suffix array in which the longest common prefix is n or
+more. An interval is named by n and its earliest place. Every place goes down these intervals from the widest step to
+a single line: it enters the interval of n + 2**k lines if that one has an earlier place. Where it stops, n is the length of
+the longest run that starts there and has an earlier copy. The runs that are not part of the run of the line before are
+maximal.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reviewloom.llm.scope import row_keys
+from reviewloom.operators.numbering import running_total
 from reviewloom.session import durable
 
 BLANKS = " \t\n\x0b\x0c\r"
 KEY = ("k1", "k2")
+HEAVY, HEAVY_KEYS = 1_000, 100_000  # a key is heavy from so many rows, and from so large a share of all that few can be
 
 
 def lines_of(text: Column) -> Column:
@@ -48,18 +52,99 @@ def _ranked(repeated: DataFrame, *by: str) -> DataFrame:
     return durable(ordered.withColumn("rank", F.monotonically_increasing_id()))
 
 
-def _shortest(ahead: Column, min_words: int, step: int) -> Column:
-    """Lines of the shortest counting run that starts (step 1) or ends (step -1) at the first entry of ``ahead``."""
-    first = ahead[0]["seq"]
-    start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
-    end = F.aggregate(
-        ahead, start,
-        lambda acc, x: F.when(
-            (acc["words"] < min_words) & (x["seq"] == first + step * acc["lines"]),
-            F.struct((acc["words"] + x["words"]).alias("words"), (acc["lines"] + 1).alias("lines")),
-        ).otherwise(acc),
+def _joined(rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with a written table of one row per key, which says how many rows a key has (copies).
+
+    Rows of heavy keys, of which there are HEAVY_KEYS at most, are joined where they lie, by a broadcast.
+    """
+    total, most = keyed.agg(F.sum("copies"), F.max("copies")).first()
+    heavy = max(HEAVY, (total or 0) // HEAVY_KEYS)
+    if (most or 0) <= heavy:
+        return rows.join(keyed.drop("copies"), on, how)
+    few = keyed.where(F.col("copies") > heavy).drop("copies")
+    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti")
+    others = rest.join(keyed.where(F.col("copies") <= heavy).drop("copies"), on, how)
+    return rows.join(F.broadcast(few), on).unionByName(others)
+
+
+def _active(docs: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, place, at, words, rank): lines that occur twice at least.
+
+    Places follow doc_id (null last), then the order in the text; rows equal in doc_id and text are one document.
+    """
+    lines = durable(_sequences(docs))
+    repeated = lines.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1")
+    rows = durable(_joined(lines, _ranked(repeated, "id"), ["id"]).drop("id"))
+    extent = rows.groupBy("doc_id", *KEY).agg((F.max("seq") + 2).cast("long").alias("extent"))
+    order = (F.col("doc_id").isNull(), F.col("doc_id"), *(F.col(k) for k in KEY))
+    bases = running_total(extent, "extent", "end", *order).select(*KEY, (F.col("end") - F.col("extent")).alias("base"))
+    placed = rows.join(bases, list(KEY)).withColumn("place", F.col("base") + F.col("seq"))
+    return durable(placed.drop("base", "seq").dropDuplicates(["place"]))
+
+
+def suffix_ranks(first: DataFrame) -> list[DataFrame]:
+    """Level k: (place, rank) of the suffixes whose first 2**k lines occur at two places or more; ``first`` is level 0."""
+    levels = [first]
+    while True:
+        step = 1 << (len(levels) - 1)
+        ahead = levels[-1].select((F.col("place") - step).alias("place"), F.col("rank").alias("b"))
+        pairs = durable(levels[-1].withColumnRenamed("rank", "a").join(ahead, "place"))
+        copies = pairs.groupBy("a", "b").agg(F.count("*").alias("copies")).where("copies > 1")
+        ranks = _ranked(copies, "a", "b")
+        if ranks.isEmpty():
+            return levels
+        levels.append(durable(_joined(pairs, ranks, ["a", "b"]).select("place", "rank")))
+
+
+def earlier_copies(levels: list[DataFrame]) -> DataFrame:
+    """(place, n, earliest): lines of the longest run that starts at a place and also at an earlier one, and the first such.
+
+    A member of an interval that is not its earliest place has a run of that length, so of those that are tried at one step
+    only the earliest place of the interval they are in can be missing; it is added.
+    """
+    within = ["n", "earliest", "rank"]
+    found = None
+    for k in reversed(range(len(levels))):
+        level = levels[k]
+        if found is None:
+            tried = level.select("place", F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("earliest"), "rank")
+        else:
+            fresh = level.join(found.select("place"), "place", "left_anti").select(
+                "place", F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("earliest"), "rank"
+            )
+            heads = found.select("n", "earliest").distinct().select(F.col("earliest").alias("place"), "n", "earliest")
+            ahead = level.select(F.col("place").alias("next"), "rank")
+            members = found.unionByName(heads).withColumn("next", F.col("place") + F.col("n"))
+            tried = members.join(ahead, "next", "left").drop("next").unionByName(fresh)
+        tried = durable(tried)
+        intervals = durable(
+            tried.where("rank is not null").groupBy(*within).agg(F.min("place").alias("least"), F.count("*").alias("copies"))
+            .where("copies > 1")
+        )
+        longer = _joined(tried.where("rank is not null"), intervals, within, "left").select(
+            "place",
+            F.when(F.col("least") < F.col("place"), F.col("n") + (1 << k)).otherwise(F.col("n")).alias("n"),
+            F.when(F.col("least") < F.col("place"), F.col("least")).otherwise(F.col("earliest")).alias("earliest"),
+        )
+        # a head is no member of its own interval; what has no run yet is tried again
+        ended = tried.where("rank is null").drop("rank")
+        found = durable(longer.unionByName(ended).where("n > 0 and earliest < place"))
+    return found
+
+
+def _counted(active: DataFrame, min_words: int) -> DataFrame:
+    """The lines, with the run that starts there if it has ``min_words`` words: (n, earliest, run_words), else null."""
+    copies = earlier_copies(suffix_ranks(active.select("place", "rank")))
+    within = W.partitionBy(*KEY).orderBy("place")
+    # every line has a word, so the first min_words lines of a run decide
+    ahead = F.collect_list("words").over(within.rowsBetween(0, min_words - 1))
+    rows = active.drop("rank").join(copies, "place", "left").withColumn("_ahead", ahead)
+    words = F.aggregate(F.slice("_ahead", 1, F.least("n", F.lit(min_words)).cast("int")), F.lit(0), lambda acc, x: acc + x)
+    counts = F.col("n").isNotNull() & (words >= min_words)
+    return rows.select(
+        "doc_id", *KEY, "place", "at", "words",
+        F.when(counts, F.col("n")).alias("n"), F.when(counts, F.col("earliest")).alias("earliest"),
     )
-    return F.when(end["words"] >= min_words, end["lines"])
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 4) -> DataFrame:
@@ -69,69 +154,34 @@ def repeated_lines(docs: DataFrame, min_words: int = 4) -> DataFrame:
     """
     if min_words < 1:
         raise ValueError("min_words starts at 1")
-    lines = durable(_sequences(docs))
-    repeated = lines.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1").select("id")
-    ids = _ranked(repeated, "id").select("id", F.col("rank").alias("r0"))
-    # rows equal in doc_id and text are one document
-    active = lines.join(ids, "id").drop("id").dropDuplicates([*KEY, "seq"])
-    within = W.partitionBy(*KEY).orderBy("seq")
-    here = F.struct("seq", "words")
-    # every line has a word, so a shortest counting run has at most min_words lines
-    ahead = F.collect_list(here).over(within.rowsBetween(0, min_words - 1))
-    behind = F.reverse(F.collect_list(here).over(within.rowsBetween(1 - min_words, 0)))
-    active = durable(
-        active.withColumn("_ahead", ahead).withColumn("_behind", behind)
-        .withColumn("down", _shortest(F.col("_ahead"), min_words, 1))
-        .withColumn("up", _shortest(F.col("_behind"), min_words, -1))
-        .drop("_ahead", "_behind")
+    reach = F.max(F.col("place") + F.col("n")).over(
+        W.partitionBy(*KEY).orderBy("place").rowsBetween(W.unboundedPreceding, 0)
     )
-    longest = active.agg(F.max(F.greatest("down", "up"))).first()[0] or 0
-    level = 0
-    while 2 << level <= longest:
-        step = 1 << level
-        whole = F.lead("seq", step).over(within) == F.col("seq") + step
-        active = active.withColumn("_next", F.when(whole, F.lead(f"r{level}", step).over(within)))
-        pairs = (
-            active.where(F.col("_next").isNotNull() & F.col(f"r{level}").isNotNull())
-            .groupBy(F.col(f"r{level}").alias("a"), F.col("_next").alias("b"))
-            .agg(F.count("*").alias("copies")).where("copies > 1").select("a", "b")
-        )
-        ranks = _ranked(pairs, "a", "b").select(
-            F.col("a").alias(f"r{level}"), F.col("b").alias("_next"), F.col("rank").alias(f"r{level + 1}")
-        )
-        active = durable(active.join(ranks, [f"r{level}", "_next"], "left").drop("_next"))
-        level += 1
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *KEY, "seq")
-    names = [f"r{i}" for i in range(level + 1)]
-    span = max(min_words, 1) - 1
-    near = F.collect_list(F.struct("seq", "at", *names)).over(within.rowsBetween(-span, span))
-    spread = active.withColumn("_near", near)
-    both = F.filter(
-        F.array(
-            F.struct(F.col("seq").alias("first"), F.col("down").alias("n")),
-            F.struct((F.col("seq") - F.col("up") + 1).alias("first"), F.col("up").alias("n")),
-        ),
-        lambda x: x["n"].isNotNull(),
-    )
-    runs = spread.select("doc_id", *KEY, "_near", F.explode(F.array_distinct(both)).alias("run")).select(
-        "doc_id", *KEY, F.col("run.first").alias("seq"), F.col("run.n").alias("n"),
-        F.filter(
-            "_near", lambda x: (x["seq"] >= F.col("run.first")) & (x["seq"] < F.col("run.first") + F.col("run.n"))
-        ).alias("covered"),
+    rows = _counted(_active(docs), min_words).withColumn("reach", reach)
+    return rows.where(F.col("reach") > F.col("place")).select(*KEY, "at")
+
+
+def repeated_runs(docs: DataFrame, min_words: int = 4) -> DataFrame:
+    """(doc_id, at, n_lines, from_doc_id, from_at): every maximal run that also occurs at an earlier place.
+
+    ``at`` is the run's first line in its text (from 0, blank lines counted), ``n_lines`` its non-blank lines, and the
+    other two name its earliest copy. A run that ends where the run of the line before ends, is part of that one and not
+    listed. Rows equal in doc_id and text are one document; null and empty texts have no runs.
+    """
+    if min_words < 1:
+        raise ValueError("min_words starts at 1")
+    active = _active(docs.select("doc_id", "text"))
+    rows = _counted(active, min_words)
+    order = W.partitionBy(*KEY).orderBy("place")
+    before = F.max(F.col("place") + F.col("n")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    maximal = rows.withColumn("_before", before).where(
+        F.col("n").isNotNull() & (F.col("_before").isNull() | (F.col("place") + F.col("n") > F.col("_before")))
     )
-    a = b = F.lit(None).cast("long")
-    for i in range(level + 1):
-        fits = (F.col("n") >= 1 << i) & (F.col("n") < 2 << i)
-        a = F.when(fits, F.col("covered")[0][f"r{i}"]).otherwise(a)
-        b = F.when(fits, F.get("covered", F.col("n") - (1 << i))[f"r{i}"]).otherwise(b)
-    runs = runs.withColumn("a", a).withColumn("b", b).where("a is not null and b is not null")
-    runs = durable(runs.select("n", "a", "b", place.alias("place"), F.col("covered.at").alias("ats")))
-    intervals = (
-        runs.groupBy("n", "a", "b").agg(F.min("place").alias("earliest"), F.max("place").alias("latest"))
-        .where("earliest < latest").select("n", "a", "b", "earliest")
+    first = active.select(F.col("place").alias("earliest"), F.col("doc_id").alias("from_doc_id"), F.col("at").alias("from_at"))
+    return maximal.join(first, "earliest").select(
+        "doc_id", F.col("at").cast("long").alias("at"), F.col("n").alias("n_lines"),
+        "from_doc_id", F.col("from_at").cast("long").alias("from_at"),
     )
-    later = runs.join(intervals, ["n", "a", "b"]).where("place > earliest")
-    return later.select(*(F.col(f"place.{k}").alias(k) for k in KEY), F.explode("ats").alias("at")).distinct()
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -478,6 +478,43 @@ def test_line_dedup(spark, min_words):
     assert line_dedup.drop_repeated_lines(docs_of(spark, rows).where("false")).count() == 0
 
 
+def brute_runs(rows, min_words):
+    """Longest run at each line that also starts at an earlier one, without those that end inside another."""
+    spots = []
+    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        full = [(at, x.strip(" \t\n\x0b\x0c\r")) for at, x in enumerate((text or "").split("\n"))]
+        own = [(at, x) for at, x in full if x]
+        spots += [(i, at, [x for _, x in own[p:]]) for p, (at, _) in enumerate(own)]
+    out, end, last = [], 0, object()
+    for p, (i, at, mine) in enumerate(spots):
+        if i != last:
+            end, last = 0, i
+        best = (0, None)
+        for q in range(p):
+            n = next((k for k, (x, y) in enumerate(zip(mine, spots[q][2], strict=False)) if x != y), min(len(mine), len(spots[q][2])))
+            if n > best[0]:
+                best = (n, spots[q][:2])
+        if best[0] and sum(len(x.split()) for x in mine[: best[0]]) >= min_words and p + best[0] > end:
+            out.append((i, at, best[0], *best[1]))
+            end = p + best[0]
+    return out
+
+
+@pytest.mark.parametrize("heavy", [1_000, 3])
+def test_repeated_runs(spark, monkeypatch, heavy):
+    monkeypatch.setattr(line_dedup, "HEAVY", heavy)
+    rng = random.Random(heavy)
+    pool = ["a b", "c", "d e f", "g h i j k", " a b ", ""]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))) for i in range(30)]
+    passage = [f"line {i}" for i in range(37)]
+    rows += [(40, "\n".join(passage)), (41, "\n".join(["x", *passage[5:], "c"])), (None, "\n".join(passage[:20] + ["y"] + passage[11:]))]
+    rows += [(42, "\n".join(["same again"] * 23)), (43, None), (44, ""), (45, "once " * 3_000)]
+    got = line_dedup.repeated_runs(docs_of(spark, rows), 4).collect()
+    assert key(got) == key(brute_runs(rows, 4))
+    assert any(r.n_lines == 32 for r in got)
+    assert line_dedup.repeated_runs(docs_of(spark, rows).where("false")).count() == 0
+
+
 def test_line_dedup_takes_repeated_rows_as_one(spark):
     rng = random.Random(16)
     pool = ["a b", "c", "d e f", "g h i j k", "l"]
