@@ -20,7 +20,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reviewloom.llm.scope import row_keys
-from reviewloom.operators.numbering import running_total
 from reviewloom.session import durable
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -67,6 +66,20 @@ def _joined(rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner"
     return rows.join(F.broadcast(few), on).unionByName(others)
 
 
+def _bases(extent: DataFrame, *order: Column) -> DataFrame:
+    """(k1, k2, base): the places that the documents before take, in the given order.
+
+    Documents are dealt out by ranges of the order; the window over all holds one row per range.
+    """
+    dealt = durable(extent.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    totals = dealt.groupBy("part").agg(F.sum("extent").alias("total"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
+    inside = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    base = F.coalesce(F.sum("extent").over(inside), F.lit(0)) + F.col("offset")
+    return dealt.join(F.broadcast(offsets), "part").select(*KEY, base.alias("base"))
+
+
 def _active(docs: DataFrame) -> DataFrame:
     """(doc_id, k1, k2, place, at, words, rank): lines that occur twice at least.
 
@@ -76,8 +89,7 @@ def _active(docs: DataFrame) -> DataFrame:
     repeated = lines.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1")
     rows = durable(_joined(lines, _ranked(repeated, "id"), ["id"]).drop("id"))
     extent = rows.groupBy("doc_id", *KEY).agg((F.max("seq") + 2).cast("long").alias("extent"))
-    order = (F.col("doc_id").isNull(), F.col("doc_id"), *(F.col(k) for k in KEY))
-    bases = running_total(extent, "extent", "end", *order).select(*KEY, (F.col("end") - F.col("extent")).alias("base"))
+    bases = _bases(extent, F.col("doc_id").isNull(), F.col("doc_id"), *(F.col(k) for k in KEY))
     placed = rows.join(bases, list(KEY)).withColumn("place", F.col("base") + F.col("seq"))
     return durable(placed.drop("base", "seq").dropDuplicates(["place"]))
 
