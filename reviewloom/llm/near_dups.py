@@ -274,7 +274,7 @@ def _across(mixed: DataFrame) -> DataFrame:
     return rest.join(mixed, "bucket").where(other & once).select("a", F.col("node").alias("b")).distinct()
 
 
-def _tile(percent: int, width: int):
+def _tile(percent: int, width: int = WIDTH):
     """Links between the two sides of a tile, one for each component that a node of the left side reaches."""
 
     def run(tile: pa.Table) -> pa.Table:
