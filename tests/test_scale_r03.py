@@ -1,9 +1,11 @@
 """What the tasks of a step hold, score and hand on, for tables larger than a test can hold."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 
-from reviewloom.operators import grid
+from reviewloom.operators import grid, index, reshape
 
 
 def cell_rows(users, items, pairs, at_once):
@@ -61,3 +63,38 @@ def test_copies_between_the_blocks():
     assert copied < 20e9
     assert 900_000 / user_blocks * (grid.VECTOR_BYTES + 200 * grid.HELD_BYTES) <= 2 * grid.BLOCK_BYTES
     assert grid.block_counts(1, 1_200_000, 12, 5)[1] > 1  # few users: the items are shared out
+
+
+def test_index_hands_on_few_copies_at_a_time():
+    """10,000 vectors with 300 lists each came in one batch of 3,000,000 vectors, and all scores of a list at once."""
+    vecs = np.random.default_rng(1).normal(size=(2_000, 8))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, vecs.size + 1, 8), pa.int32()), pa.array(vecs.reshape(-1)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2_000)), lists], names=["user_id", "vec"])
+    found = list(index._filed(vecs[:300], "user_id", 300)(iter([batch])))
+    assert max(b.num_rows for b in found) <= index.COPIES_AT_ONCE
+    assert sum(b.num_rows for b in found) == 600_000
+
+
+def test_scores_of_a_list_are_held_in_tiles():
+    n = 3_000
+    vecs = np.random.default_rng(2).normal(size=(2 * n, 4))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, vecs.size + 1, 4), pa.int32()), pa.array(vecs.reshape(-1)))
+    ids = pa.array(np.arange(2 * n))
+    cell = pa.table({"is_query": pa.array(np.arange(2 * n) < n), "user_id": ids, "item_id": ids, "vec": lists})
+    tracemalloc.start()
+    got = index._scored(2, 6)(cell)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 140e6  # 72 MB of scores and copies of them before
+    scores = vecs[:n] @ vecs[n:].T
+    assert got["item_id"].to_numpy()[::2].tolist() == (scores.argmax(axis=1) + n).tolist()
+
+
+def test_whole_texts_shuffle_no_text_that_is_alone(spark):
+    rows = [(i, f"u{i % 40:02}", f"text {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "review_id long, user_id string, text string")
+    pieces = reshape.text_pieces(df, "user_id", "text", ["review_id"])
+    found = pieces.collect()
+    assert sum(not r["alone"] for r in found) <= 2 * 4 + 4  # the first and last key of each of 4 tasks
+    whole = {r["user_id"]: (r["n_texts"], r["text"]) for r in reshape.whole_texts(pieces, "user_id").collect()}
+    assert whole == {f"u{u:02}": (10, " ".join(f"text {i}" for i in range(u, 400, 40))) for u in range(40)}
