@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from reviewloom.operators import grid, index, reshape
+from reviewloom.operators import grid, index, paragraph, reshape
 
 
 def cell_rows(users, items, pairs, at_once):
@@ -98,3 +98,15 @@ def test_whole_texts_shuffle_no_text_that_is_alone(spark):
     assert sum(not r["alone"] for r in found) <= 2 * 4 + 4  # the first and last key of each of 4 tasks
     whole = {r["user_id"]: (r["n_texts"], r["text"]) for r in reshape.whole_texts(pieces, "user_id").collect()}
     assert whole == {f"u{u:02}": (10, " ".join(f"text {i}" for i in range(u, 400, 40))) for u in range(40)}
+
+
+def test_documents_find_their_cells_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(paragraph, "TOKENS_PER_CELL", 6)
+    rows = [(str(i), "item", "big" if i % 2 else f"t{i}", ["a", "b"]) for i in range(20)] + [("x", "item", None, ["a"])]
+    docs = spark.createDataFrame(rows, "doc string, what string, tag string, tokens array<string>")
+    placed = paragraph._cells(docs, 64)
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    found = placed.collect()
+    assert len(found) == 20  # a document without a tag takes no part
+    assert len({r["cell"] for r in found if r["tag"] == "big"}) > 1
