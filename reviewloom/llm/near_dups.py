@@ -320,7 +320,7 @@ def _tile(percent: int, width: int = WIDTH):
     return run
 
 
-def _in_tiles(large: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+def _in_tiles(large: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
     """Links (a, b) between components among the members of large buckets (node, comp, one).
 
     Buckets that share members make a cluster. What lies outside a cluster's largest component meets the whole cluster,
