@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
+from reviewloom.functions import text
 from reviewloom.operators import grid, index, paragraph, reshape
 
 
@@ -110,3 +111,17 @@ def test_documents_find_their_cells_without_a_shuffle(spark, monkeypatch):
     found = placed.collect()
     assert len(found) == 20  # a document without a tag takes no part
     assert len({r["cell"] for r in found if r["tag"] == "big"}) > 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lemmas_shuffle_no_row_per_word(spark):
+    lemmas = spark.createDataFrame([("cats", "cat"), ("ran", "run"), ("ran", "running"), ("x", None)], "form string, lemma string")
+    rows = [(1, ["the", "cats", "ran"]), (2, ["x", "cats"]), (3, ["cats"]), (3, ["a", "ran"]), (4, []), (5, None), (5, ["ran"]), (None, ["cats"])]
+    out = text.lemmatise(spark.createDataFrame(rows, "k long, t array<string>"), "t", "k", lemmas)
+    assert "posexplode" not in plan_of(out)
+    found = sorted(((r["k"], r["t"]) for r in out.collect()), key=lambda r: (r[0] is None, r))
+    merged = ["a", "cat", "run"]  # rows that share a key
+    assert found == [(1, ["the", "cat", "run"]), (2, ["x", "cat"]), (3, merged), (3, merged), (4, []), (5, ["run"]), (5, ["run"]), (None, ["cats"])]
