@@ -55,12 +55,22 @@ def read_reviews(spark: SparkSession, path: str, ledger: Ledger) -> tuple[DataFr
     return ledger.note(rows, "reviews", dates_not_parsed=unparsed), ledger.note(rejects, "rejected lines")
 
 
-def prepare(reviews: DataFrame, meta: DataFrame, required: Sequence[str], ledger: Ledger, key: str = "item_id") -> DataFrame:
+def prepare(
+    reviews: DataFrame, meta: DataFrame, required: Sequence[str], ledger: Ledger, key: str = "item_id",
+    texts: DataFrame | None = None, text_key: str = "doc_id",
+) -> DataFrame:
     """The merge of ``clean.merge_reviews``, with every step noted: items, items with a broken title, joined rows, rows
-    that lack each required value, rows kept."""
+    that lack each required value, rows kept.
+
+    ``texts`` that reviews name by ``text_key`` are joined last, in order of that key: no shuffle carries a text more than
+    once, and copies of a text are written side by side, where they take little room.
+    """
     broken = F.col("title").contains(TITLE_MARKUP)
     items = drop_markup_titles(ledger.note(meta, "items", broken_title=broken))
-    merged = blank_to_null(items.join(reviews, key))
+    merged = items.join(reviews, key)
+    if texts is not None:
+        merged = merged.join(texts.hint("merge"), text_key)
+    merged = blank_to_null(merged)
     merged = ledger.note(merged, "joined", **{f"no_{c}": F.col(c).isNull() for c in required})
     return ledger.note(merged.dropna(subset=list(required)), "kept")
 

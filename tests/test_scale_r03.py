@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from reviewloom.functions import text
-from reviewloom.operators import grid, index, paragraph, reshape
+from reviewloom.operators import accounting, grid, index, paragraph, reshape
 
 
 def cell_rows(users, items, pairs, at_once):
@@ -125,3 +125,15 @@ def test_lemmas_shuffle_no_row_per_word(spark):
     found = sorted(((r["k"], r["t"]) for r in out.collect()), key=lambda r: (r[0] is None, r))
     merged = ["a", "cat", "run"]  # rows that share a key
     assert found == [(1, ["the", "cat", "run"]), (2, ["x", "cat"]), (3, merged), (3, merged), (4, []), (5, ["run"]), (5, ["run"]), (None, ["cats"])]
+
+
+def test_texts_are_joined_last(spark):
+    texts = spark.createDataFrame([(1, "one"), (2, ""), (3, "three")], "doc_id long, review_text string")
+    meta = spark.createDataFrame([("a", "A"), ("b", "getTime(")], "item_id string, title string")
+    reviews = spark.createDataFrame([("u", "a", 1), ("v", "a", 2), ("w", "b", 3), ("x", "a", 9)], "user_id string, item_id string, doc_id long")
+    ledger = accounting.Ledger()
+    kept = accounting.prepare(reviews, meta, ["title", "review_text"], ledger, texts=texts)
+    plan = plan_of(kept)
+    assert plan.index("SortMergeJoin [doc_id") < plan.index("Join [item_id")
+    assert [(r["user_id"], r["review_text"]) for r in kept.collect()] == [("u", "one")]
+    assert ledger.counts()["joined"] == {"rows": 2, "no_title": 0, "no_review_text": 1}
