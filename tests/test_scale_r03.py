@@ -5,8 +5,10 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from reviewloom.functions import text
-from reviewloom.operators import accounting, grid, index, paragraph, reshape
+from reviewloom.operators import accounting, grid, index, paragraph, reshape, topics
 
 
 def cell_rows(users, items, pairs, at_once):
@@ -137,3 +139,30 @@ def test_texts_are_joined_last(spark):
     assert plan.index("SortMergeJoin [doc_id") < plan.index("Join [item_id")
     assert [(r["user_id"], r["review_text"]) for r in kept.collect()] == [("u", "one")]
     assert ledger.counts()["joined"] == {"rows": 2, "no_title": 0, "no_review_text": 1}
+
+
+def test_terms_are_not_shuffled(spark, monkeypatch):
+    rows = [(1, "a b a"), (1, "b c"), (2, "a"), (None, "a d"), (None, "d"), (3, None)]
+    docs = spark.createDataFrame(rows, "k long, processed_text string")
+    wanted = {(1, "a", 2), (1, "b", 2), (1, "c", 1), (2, "a", 1), (None, "a", 1), (None, "d", 2)}
+    assert set(map(tuple, topics.term_counts(docs, "k").collect())) == wanted
+    plan = plan_of(topics.term_counts(docs.where("k is not null"), "k"))
+    assert "ENSURE_REQUIREMENTS" not in plan and "REPARTITION_BY_COL" in plan
+    monkeypatch.setattr(topics, "HEAVY_ROWS", 1)
+    assert set(map(tuple, topics.term_counts(docs, "k").collect())) == wanted
+
+
+def test_weights_stay_with_their_document(spark):
+    docs = spark.createDataFrame([(i, f"all w{i % 3} v{i % 5}") for i in range(30)], "k long, processed_text string")
+    weights = topics.tfidf(topics.term_counts(docs, "k"), "k", F.lit(30))
+    assert "ENSURE_REQUIREMENTS" not in plan_of(weights).replace("BroadcastExchange", "")
+    found = weights.collect()
+    assert len(found) == 60 and abs(sum(r["weight"] ** 2 for r in found) - 30) < 1e-9
+
+
+def test_terms_meet_inside_their_document(spark):
+    counts = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (2, "a", 2), (3, "b", 1), (None, "a", 1), (None, "b", 1)], "k long, term string, tf long")
+    top = spark.createDataFrame([(0, 0, "a"), (0, 1, "b")], "topic int, place int, term string")
+    scores = topics.coherence(top, counts, "k", F.lit(4))
+    assert plan_of(scores).count("hashpartitioning(k#") <= 1  # terms were joined with each other by key before
+    assert abs(scores.first()["coherence"] - np.log((1 / 4 + 1e-12) / (3 / 4))) < 1e-9
