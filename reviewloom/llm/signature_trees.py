@@ -37,7 +37,7 @@ from reviewloom.llm import words
 from reviewloom.llm.graph import components
 from reviewloom.llm.near_dups import digests_of
 from reviewloom.llm.scope import fields
-from reviewloom.operators.cells import MOST_PARTITIONS
+from reviewloom.operators.cells import MOST_PARTITIONS, by_cell
 from reviewloom.session import durable
 
 WIDTH = 5  # words of a shingle, unless stated otherwise
@@ -128,7 +128,10 @@ def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Rows sorted by their first column, without it, as one list per value."""
     group, parts = None, []
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+        binary = [pa.types.is_binary(kind) for kind in batch.schema.types]
+        for i in range(batch.num_rows):
+            # bytes are looked at where they lie, not copied
+            row = tuple(c[i].as_buffer() if b else c[i].as_py() for c, b in zip(batch.columns, binary, strict=True))
             if row[0] != group:
                 if parts:
                     yield parts
@@ -147,9 +150,13 @@ def _sent(width: int, buckets: int):
 
     def rows(tokens: list[np.ndarray], nodes: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
         token, node, size = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
-        bucket = (token >> np.uint64(33)).astype(np.int64) % buckets
+        tokens.clear()
+        bucket = ((token >> np.uint64(33)).astype(np.int64) % buckets).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        return _packed(SENT, bucket[order], node[order], size[order], token[order])
+        bucket, token = bucket[order], token[order]
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
+        del order
+        return _packed(SENT, bucket, node[owner], size[owner], token)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, nodes, sizes, held = [], [], [], 0
@@ -158,8 +165,8 @@ def _sent(width: int, buckets: int):
                 found, bounds = words.shingles(part.column("text"), width)
                 size = np.diff(bounds)
                 tokens.append(found)
-                nodes.append(np.repeat(part.column("node").to_numpy(), size))
-                sizes.append(np.repeat(size, size).astype(np.int32))
+                nodes.append(part.column("node").to_numpy())
+                sizes.append(size.astype(np.int32))
                 held += len(found)
                 if held >= SENT_TOKENS:
                     yield rows(tokens, nodes, sizes)
@@ -229,10 +236,10 @@ def _firsts(classes: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     reps = classes.select("node", "rep.doc_id", "rep.text_key")
     sent = texts.join(_small(reps), list(ROW)).select("node", "text")
     sent = sent.mapInArrow(_sent(width, buckets), "bucket long, nodes binary, sizes binary, counts binary, tokens binary")
-    parts = min(buckets, MOST_PARTITIONS)
-    sent = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    # a bucket is a task of its own: by hash, some tasks would get several
+    sent = by_cell(sent.withColumn("bucket", F.col("bucket").cast("int")), buckets, "bucket").sortWithinPartitions("bucket")
     rows = sent.mapInArrow(_shared(buckets), "target long, nodes binary, sizes binary, counts binary, tokens binary, texts binary")
-    rows = rows.repartition(parts, "target").sortWithinPartitions("target")
+    rows = by_cell(rows.withColumn("target", F.col("target").cast("int")), buckets, "target").sortWithinPartitions("target")
     schema = "node long, n long, alone long, prefix array<long>, last_texts long"
     return durable(rows.mapInArrow(_prefixes(percent), schema))
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from reviewloom.functions import text
+from reviewloom.llm import signature_trees
 from reviewloom.operators import accounting, grid, index, paragraph, reshape, topics
 
 
@@ -166,3 +167,16 @@ def test_terms_meet_inside_their_document(spark):
     scores = topics.coherence(top, counts, "k", F.lit(4))
     assert plan_of(scores).count("hashpartitioning(k#") <= 1  # terms were joined with each other by key before
     assert abs(scores.first()["coherence"] - np.log((1 / 4 + 1e-12) / (3 / 4))) < 1e-9
+
+
+def test_sent_tokens_are_held_once():
+    """Tokens came with a copy of their node and size each before they were packed."""
+    lines = [" ".join(f"w{i}x{j}" for j in range(2_000)) for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(lines)], names=["node", "text"])
+    tracemalloc.start()
+    rows = list(signature_trees._sent(3, 4)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    tokens = sum(len(x) // 8 for r in rows for x in r.column("tokens").to_pylist())
+    assert tokens == 200 * 1_998
+    assert peak < 125 * tokens  # 152 bytes a token before
