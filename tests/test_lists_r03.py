@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewloom.operators import content, grid
+from reviewloom.llm import line_dedup
+from reviewloom.operators import content, grid, recommend
 
 
 def plan_of(df):
@@ -58,3 +59,40 @@ def test_candidates_are_kept_for_users_with_many_rated_items_only(spark, monkeyp
     assert sorted(asked) == [(n, 27), (candidates, 3)]
     twice = {a: [i for i in np.repeat(order[a], 2)[:candidates].tolist() if (a, i) not in rated][:n] for a in range(n_users)}
     assert lists(items.unionByName(items)) == twice  # an item that comes twice takes two places
+
+
+def test_random_lists_take_pairs_as_they_are(spark, small_train):
+    """Users, items and pairs each made the distinct pairs of all ratings anew."""
+    seen = recommend.fit("RANDOM", small_train).tables["seen"]
+    assert "Aggregate" not in plan_of(seen)
+    lists = recommend.recommend("RANDOM", small_train, 3).collect()
+    assert len(lists) == 2 + 3 + 2 + 3  # five items, of which a user has three, two, three or two
+    assert not {(r["user_id"], r["item_id"]) for r in lists} & {(r["user_id"], r["item_id"]) for r in small_train.collect()}
+
+
+def test_pairs_are_not_looked_up_for_full_lists(monkeypatch):
+    """Every step looked up all rated pairs, although no list could change any more."""
+    sizes = []
+    inner = grid.pa.compute.index_in
+    monkeypatch.setattr(grid.pa.compute, "index_in", lambda values, options: sizes.append(len(options)) or inner(values, options))
+    rows = [(0, u, None, [9.0]) for u in range(5)] + [(1, 1, 0, None)] + [(2, None, i, [1.0]) for i in range(20_000)]
+    kind, user, item, vec = zip(*rows)
+    cell = grid.pa.table({
+        "kind": grid.pa.array(kind, grid.pa.int32()), "user_id": grid.pa.array(user, grid.pa.int64()),
+        "item_id": grid.pa.array(item, grid.pa.int64()), "vec": grid.pa.array(vec, grid.pa.list_(grid.pa.float64())),
+    })
+    scorer = grid.dot_scorer(clip=(1.0, 5.0))
+    found = grid.pa.Table.from_batches(grid._cell(scorer, 10, 6, 5.0, False)(iter(cell.to_batches())))
+    assert [r["item_id"] for r in found.to_pylist() if r["user_id"] == 1] == [*range(1, 11)]
+    assert sizes == [5, grid.FIRST_TO_FILL * 10]  # and 1,024 items were scored at first
+
+
+def test_levels_of_line_ranks_are_counted_once(spark, monkeypatch):
+    """Whether a level is empty and how large its keys are took a job each."""
+    first = spark.createDataFrame([(i, i % 4) for i in range(12)], "place long, rank long")
+    asked = []
+    inner = line_dedup._sizes
+    monkeypatch.setattr(line_dedup, "_sizes", lambda keyed: asked.append(1) or inner(keyed))
+    monkeypatch.setattr(type(first), "isEmpty", lambda self: pytest.fail("a job of its own"))
+    levels = line_dedup.suffix_ranks(first)
+    assert [x.count() for x in levels] == [12, 11, 9, 2] and len(asked) == len(levels)
