@@ -51,12 +51,19 @@ def _ranked(repeated: DataFrame, *by: str) -> DataFrame:
     return durable(ordered.withColumn("rank", F.monotonically_increasing_id()))
 
 
-def _joined(rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def _sizes(keyed: DataFrame) -> tuple[int | None, int | None]:
+    """Rows of all keys and of the largest one; None if there is no key."""
+    return tuple(keyed.agg(F.sum("copies"), F.max("copies")).first())
+
+
+def _joined(
+    rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner", sizes: tuple[int | None, int | None] | None = None
+) -> DataFrame:
     """``rows`` joined with a written table of one row per key, which says how many rows a key has (copies).
 
     Rows of heavy keys, of which there are HEAVY_KEYS at most, are joined where they lie, by a broadcast.
     """
-    total, most = keyed.agg(F.sum("copies"), F.max("copies")).first()
+    total, most = sizes or _sizes(keyed)
     heavy = max(HEAVY, (total or 0) // HEAVY_KEYS)
     if (most or 0) <= heavy:
         return rows.join(keyed.drop("copies"), on, how)
@@ -103,9 +110,10 @@ def suffix_ranks(first: DataFrame) -> list[DataFrame]:
         pairs = durable(levels[-1].withColumnRenamed("rank", "a").join(ahead, "place"))
         copies = pairs.groupBy("a", "b").agg(F.count("*").alias("copies")).where("copies > 1")
         ranks = _ranked(copies, "a", "b")
-        if ranks.isEmpty():
+        sizes = _sizes(ranks)
+        if sizes[0] is None:
             return levels
-        levels.append(durable(_joined(pairs, ranks, ["a", "b"]).select("place", "rank")))
+        levels.append(durable(_joined(pairs, ranks, ["a", "b"], sizes=sizes).select("place", "rank")))
 
 
 def earlier_copies(levels: list[DataFrame]) -> DataFrame:
