@@ -41,7 +41,7 @@ def test_candidates_are_kept_for_users_with_many_rated_items_only(spark, monkeyp
     rng = np.random.default_rng(6)
     n_users, n_items, n, candidates = 30, 80, 4, 12
     u, v = rng.normal(size=(n_users, 3)), rng.normal(size=(n_items, 3))
-    rated = {(a, int(b)) for a in range(n_users) for b in rng.choice(n_items, 40 if a % 10 == 0 else 5, replace=False)}
+    rated = {(a, int(b)) for a in range(n_users) for b in rng.choice(n_items, 40 if a % 10 == 0 else 2, replace=False)}
     profiles = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(u)], "user_id long, vec array<double>")
     items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item_id long, vec array<double>")
     seen = spark.createDataFrame(sorted(rated) + [(None, 1), (3, None)], "user_id long, item_id long")
