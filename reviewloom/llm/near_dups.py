@@ -362,7 +362,8 @@ def _in_tiles(large: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     ids = rows.select("row").distinct()
     texts = docs.join(F.broadcast(ids) if rows.count() <= BROADCAST_IDS else ids, "row", "left_semi")
     tiles = rows.join(texts, "row").select("cluster", "i", "j", "node", "comp", "is_rest", "text")
-    return tiles.groupBy("cluster", "i", "j").applyInArrow(_tile(percent, width), "a binary, b binary")
+    stated = () if width == WIDTH else (width,)
+    return tiles.groupBy("cluster", "i", "j").applyInArrow(_tile(percent, *stated), "a binary, b binary")
 
 
 def near_duplicates(
